@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeforge.llm import simhash
+from cladeforge.llm import packed_ids, simhash
 from cladeforge.llm.common import table
 
 
@@ -14,8 +14,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_ids.token_id_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash,)}
+    return {f.__name__: f for f in (op3_simhash, op6_packed_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
