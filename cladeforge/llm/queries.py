@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeforge.llm import packed_ids, simhash
+from cladeforge.llm import byte_bpe, packed_ids, simhash
 from cladeforge.llm.common import table
 
 
@@ -18,8 +18,12 @@ def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.token_id_report(table(spark, sf_dir, "documents"))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op6_packed_ids)}
+    return {f.__name__: f for f in (op3_simhash, op6_packed_ids, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
