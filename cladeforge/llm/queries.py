@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeforge.llm import byte_bpe, order_minhash, packed_ids, simhash
+from cladeforge.llm import byte_bpe, hilbert_packing, order_minhash, packed_ids, simhash
 from cladeforge.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.neighbours(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op5_order_minhash, op6_packed_ids, op10_byte_bpe)}
+    return {f.__name__: f for f in (op3_simhash, op4_hilbert_packing, op5_order_minhash, op6_packed_ids, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
