@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeforge.llm import byte_bpe, disclosure, hilbert_packing, order_minhash, packed_ids, simhash
+from cladeforge.llm import byte_bpe, disclosure, hilbert_packing, markov_secrets, order_minhash, packed_ids, simhash
 from cladeforge.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.report(table(spark, sf_dir, "documents"))
 
 
+def op2_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markov_secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_disclosure, op3_simhash, op4_hilbert_packing, op5_order_minhash, op6_packed_ids, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_disclosure, op2_markov_secrets, op3_simhash, op4_hilbert_packing, op5_order_minhash, op6_packed_ids, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
