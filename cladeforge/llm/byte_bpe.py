@@ -9,7 +9,8 @@ pairs with their place. The lowest rank (leftmost first) is merged, its neighbou
 pushed, stale heap entries are skipped: n log n, also for a pre-token of a whole text. Ranks of
 pairs come from the perfect hash as well.
 
-A bounded memo of resolved pre-tokens stands before both, as most pre-tokens repeat.
+A bounded memo of resolved pre-tokens stands before both, as most pre-tokens repeat; when full it
+becomes the old one, from which pre-tokens still in use move to the next.
 
 Edge cases: null text is empty: no ids, digests of the empty string. Repeated rows give a row each.
 """
@@ -21,6 +22,7 @@ import functools
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from cladeforge.llm.common import slices, texts
 
-MEMO_TOKENS, MEMO_CHARS = 200_000, 40
+MEMO_TOKENS, MEMO_CHARS, MEMO_PAIRS = 300_000, 40, 100_000
 
 
 def vocabulary_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
@@ -46,7 +48,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class PerfectHash:
     """bytes -> rank for a fixed set of distinct strings, one slot for each."""
 
-    def __init__(self, ranks: dict[bytes, int], load: int = 4):
+    def __init__(self, ranks: dict[bytes, int], load: int = 2):
         n = self.slots = max(1, len(ranks))
         self.buckets = -(-n // load)
         groups: dict[int, list[bytes]] = {}
@@ -72,6 +74,19 @@ class PerfectHash:
         return self.ranks[slot] if self.keys[slot] == key else -1
 
 
+class _Asked(dict):
+    """The perfect hash's answers, remembered within a bound: merging asks for few strings often."""
+
+    def __init__(self, hash_: PerfectHash):
+        self.hash = hash_
+
+    def __missing__(self, key: bytes) -> int:
+        if len(self) >= MEMO_PAIRS:
+            self.clear()
+        known = self[key] = self.hash.get(key)
+        return known
+
+
 class ByteBPE:
     def __init__(self, path: str, pattern: str):
         ranks = load_ranks(path)
@@ -80,47 +95,54 @@ class ByteBPE:
         self.bytes_of = {r: k for k, r in ranks.items()}
         self.text_of = {r: str(r) for r in ranks.values()}
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.pairs = _Asked(self.hash)
 
     def merge(self, data: bytes) -> tuple[int, ...]:
-        rank, n = self.hash.get, len(data)
+        rank, n = self.pairs.__getitem__, len(data)
         piece: list[bytes | None] = [data[i : i + 1] for i in range(n)]
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(r, i, 2) for i in range(n - 1) if (r := rank(data[i : i + 2])) >= 0]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, size = heapq.heappop(heap)
+            _, i, size = pop(heap)
             left, j = piece[i], after[i]
             if left is None or j >= n or len(left) + len(piece[j]) != size:
                 continue
-            piece[i], piece[j] = left + piece[j], None
+            piece[i] = left = left + piece[j]
+            piece[j] = None
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                both = piece[i] + piece[k]
-                if (r := rank(both)) >= 0:
-                    heapq.heappush(heap, (r, i, len(both)))
-            if (h := before[i]) >= 0:
-                both = piece[h] + piece[i]
-                if (r := rank(both)) >= 0:
-                    heapq.heappush(heap, (r, h, len(both)))
-        return tuple(rank(p) for p in piece if p is not None)
+                if (r := rank(both := left + piece[k])) >= 0:
+                    push(heap, (r, i, len(both)))
+            if (h := before[i]) >= 0 and (r := rank(both := piece[h] + left)) >= 0:
+                push(heap, (r, h, len(both)))
+        return tuple([rank(p) for p in piece if p is not None])
 
     def resolve(self, token: str) -> tuple[int, ...]:
-        data = token.encode()
-        whole = self.hash.get(data)
-        ids = (whole,) if whole >= 0 else self.merge(data)
+        """The ids of one pre-token, from both tiers; kept in the memo."""
+        ids = self.old.get(token)
+        if ids is None:
+            data = token.encode()
+            whole = self.hash.get(data)
+            ids = (whole,) if whole >= 0 else self.merge(data)
         if len(token) <= MEMO_CHARS:
             if len(self.memo) >= MEMO_TOKENS:
-                self.memo.clear()
+                self.old, self.memo = self.memo, {}
             self.memo[token] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known, resolve, extend = self.memo.get, self.resolve, out.extend
-        for token in self.find(text):
-            extend(known(token) or resolve(token))
-        return out
+        tokens, memo = self.find(text), self.memo
+        try:
+            return list(chain.from_iterable(map(memo.__getitem__, tokens)))
+        except KeyError:
+            out: list[int] = []
+            for token in tokens:
+                out += self.memo.get(token) or self.resolve(token)
+            return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
