@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeforge.llm import byte_bpe, disclosure, hilbert_packing, markov_secrets, order_minhash, packed_ids, simhash
+from cladeforge.llm import byte_bpe, disclosure, hilbert_packing, markov_secrets, order_minhash, packed_ids, pu_quality, simhash
 from cladeforge.llm.common import table
 
 
@@ -34,12 +34,16 @@ def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.token_id_report(table(spark, sf_dir, "documents"))
 
 
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_disclosure, op2_markov_secrets, op3_simhash, op4_hilbert_packing, op5_order_minhash, op6_packed_ids, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_disclosure, op2_markov_secrets, op3_simhash, op4_hilbert_packing, op5_order_minhash, op6_packed_ids, op7_pu_quality, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
