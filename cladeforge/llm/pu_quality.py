@@ -40,7 +40,7 @@ from cladeforge.llm.common import slices, texts
 POSITIVES, UNLABELLED = 6_000, 9_000
 THRESHOLD = 0.7
 HIDDEN, STEPS, RATE, DECAY = 12, 600, 0.02, 1e-4
-WIDTH = 1.6
+WIDTH = 1.3
 _MARKS = np.array([c for c in range(33, 127) if not chr(c).isalnum()])
 FEATURES = 17 + len(_MARKS)
 
