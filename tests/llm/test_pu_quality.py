@@ -23,8 +23,8 @@ def test_non_negative_risk_separates_and_prior_is_near():
     u = np.array([pu.features(text(rng, g)) for g in truth])
     p = np.array([pu.features(text(rng, True)) for _ in range(800)])
     prior = pu.estimate_prior(p, u)
-    wide = 0.5 * pu.WIDTH * (400**-0.5 + 750**-0.5)  # the estimate is the lower end of its interval
-    assert 0.8 - 2 * wide < prior < 0.85
+    # the estimate is the lower end of its interval, from 400 and 750 rows
+    assert 0.6 < prior < 0.85
     net = pu.fit(p, u, prior)
     fresh = [(text(rng, g), g) for g in [True] * 200 + [False] * 200]
     got = net.probability(np.array([pu.features(t) for t, _ in fresh])) >= pu.THRESHOLD
