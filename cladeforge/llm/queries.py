@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeforge.llm import byte_bpe, disclosure, hilbert_packing, markov_secrets, order_minhash, packed_ids, pu_quality, simhash, toxicity_grammar
+from cladeforge.llm import byte_bpe, disclosure, hilbert_packing, markov_secrets, order_minhash, packed_ids, pu_quality, simhash, toxicity_grammar, uniform_topk
 from cladeforge.llm.common import table
 
 
@@ -42,13 +42,17 @@ def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_grammar.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_uniform_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uniform_topk.top(table(spark, sf_dir, "embeddings"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_disclosure, op2_markov_secrets, op3_simhash, op4_hilbert_packing, op5_order_minhash, op6_packed_ids, op7_pu_quality, op8_toxicity_grammar, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_disclosure, op2_markov_secrets, op3_simhash, op4_hilbert_packing, op5_order_minhash, op6_packed_ids, op7_pu_quality, op8_toxicity_grammar, op9_uniform_topk, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_uniform_topk": uniform_topk.ORACLE_SQL}
