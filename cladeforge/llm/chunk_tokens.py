@@ -3,7 +3,8 @@
 The vocabulary file normalises (NFC, runs of white space to one space, lower case) and splits
 so that white space ends every piece and is dropped. So a text's ids are the ids of its chunks
 between white space, one after another, and a chunk that was seen before needs no second
-encoding. The memo is bounded: when full, it starts anew.
+encoding. The memo is bounded: when full it becomes the old one, from which chunks still in use
+move to the next, so that frequent chunks stay and rare ones go.
 
 Texts with U+001C to U+001F (white space to Python, not to the file's pattern) go to the
 library whole. Strings of special tokens in a text are ordinary text (as the vocabulary folder's
@@ -15,11 +16,16 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Chunks in the memo, and the longest chunk (code points) that enters it.
-MEMO_CHUNKS, MEMO_CHARS = 200_000, 48
+#: Chunks in the memo (the last texts may exceed it) and the longest chunk (code points) in it.
+MEMO_CHUNKS, MEMO_CHARS = 450_000, 48
+#: Marks behind a word that form a piece of their own (no apostrophe: the pattern has contractions).
+MARKS = ".,!$%&*#|;:?"
 END_ID = 2
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -39,31 +45,89 @@ class ChunkTokenizer:
         self.library.encode_special_tokens = True
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values() if not t.special]
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        return self.encode_all(pa.array([text], pa.string()))[0][:-1].tobytes()
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each text's followed by END_ID, and where each text's begin and end.
+
+        Arrow splits the texts and finds the different chunks; Python sees only those, and NumPy
+        puts their ids where the chunks stood.
+        """
+        odd = pc.match_substring_regex(texts, _ODD.pattern)
+        for a in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, a))
+        if pc.any(odd).as_py():
+            own = [np.append(self._one(t), np.uint32(END_ID)) for t in texts.to_pylist()]
+            return np.concatenate(own).astype(np.uint32), np.cumsum([0, *map(len, own)])
+        split = pc.utf8_split_whitespace(texts)
+        chunks = split.flatten().dictionary_encode()
+        ids = self._known(chunks.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        at = chunks.indices.to_numpy(zero_copy_only=False)
+        lengths = sizes[at]
+        ends = np.cumsum(lengths)
+        firsts = np.cumsum(sizes) - sizes
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        stops = np.concatenate([[0], ends])[bounds]
+        plain = flat[np.repeat(firsts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        offsets = stops + np.arange(len(stops))
+        out = np.full(len(plain) + len(texts), END_ID, np.uint32)
+        keep = np.ones(len(out), bool)
+        keep[offsets[1:] - 1] = False
+        out[keep] = plain
+        return out, offsets
+
+    def _one(self, text: str) -> np.ndarray:
         if _ODD.search(text) or any(a in text for a in self.added):
-            return self.whole(text)
-        chunks = text.split()
-        memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, chunks))
-        except KeyError:
-            pass
-        new = [c for c in dict.fromkeys(chunks) if c not in memo]
-        known = {c: np.array(e.ids, np.uint32).tobytes() for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        if len(memo) + len(known) > MEMO_CHUNKS:
-            known |= {c: memo[c] for c in chunks if c in memo}
-            memo.clear()
-        out = b"".join([memo[c] if c in memo else known[c] for c in chunks])
-        memo.update((c, x) for c, x in known.items() if len(c) <= MEMO_CHARS)
+            return np.frombuffer(self.whole(text), np.uint32)
+        return np.frombuffer(b"".join(self._known(text.split())), np.uint32)
+
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk; what none of the memos has goes to the library at once."""
+        memo, wanted = self.memo, {}
+        for c in set(chunks).difference(memo):
+            self._want(c, wanted)
+        new = [c for c, parts in wanted.items() if parts is None]
+        for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            memo[c] = array("I", e.ids).tobytes()
+        for c, parts in wanted.items():
+            if parts is not None:
+                memo[c] = memo[parts[0]] + (memo[parts[1]] if parts[1] else b"")
+        out = list(map(memo.__getitem__, chunks))
+        for c in new:
+            if len(c) > MEMO_CHARS:
+                del memo[c]
+        if len(memo) >= MEMO_CHUNKS:
+            self.old, self.memo = memo, {}
         return out
 
-    def with_end(self, text: str) -> bytes:
-        return self.encode(text) + END_ID.to_bytes(4, "little")
+    def _want(self, c: str, wanted: dict[str, tuple[str, str] | None]) -> None:
+        """Notes what c needs: nothing, the library (None), or its parts, a lower-case word and the
+        marks behind it. Letters and marks never share a piece, and in Latin-1 lower case is letter
+        by letter and NFC changes nothing."""
+        if c in self.memo or c in wanted:
+            return
+        if c in self.old:
+            self.memo[c] = self.old[c]
+            return
+        word = c.rstrip(MARKS)
+        if len(c) <= MEMO_CHARS and word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+            low, marks = word.lower(), c[len(word) :]
+            if low != c:
+                self._want(low, wanted)
+                if marks:
+                    self._want(marks, wanted)
+                wanted[c] = (low, marks)
+                return
+        wanted[c] = None
 
 
 @functools.cache

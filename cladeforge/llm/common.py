@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,13 +61,19 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def text_slices(batches: Iterable[pa.RecordBatch], chars: int = 1 << 23, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about so many bytes of text, at least a row each."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        total, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(total, total[at] - sizes[at] + chars, "right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
-def fold(doc_id: str = "doc_id") -> F.Column:
-    """The fold of a document: crc32 of its id as text, mod 4."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 # -- files in the shared folder ------------------------------------------------------------

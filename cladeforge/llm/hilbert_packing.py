@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeforge.llm.chunk_tokens import tokenizer, vocabulary_path
-from cladeforge.llm.common import materialise, partitions, slices, texts
+from cladeforge.llm.common import materialise, partitions, slices, text_slices, texts
 
 CAPACITY = 4096
 DIMENSIONS, ORDER = 4, 10
@@ -74,7 +74,7 @@ def hilbert_key(cells: np.ndarray, order: int = ORDER) -> np.ndarray:
 @functools.cache
 def directions(size: int, dimensions: int = DIMENSIONS) -> np.ndarray:
     """A fixed direction for each token id, from its hash."""
-    out = np.empty((size, dimensions))
+    out = np.empty((size, dimensions), np.float32)
     for i in range(size):
         h = xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 7)
         for k in range(dimensions):
@@ -82,9 +82,13 @@ def directions(size: int, dimensions: int = DIMENSIONS) -> np.ndarray:
     return out
 
 
-def cells(ids: np.ndarray, size: int) -> np.ndarray:
-    """The cell of one document's ids."""
-    where = directions(size)[ids].mean(axis=0) * np.sqrt(len(ids))
+def cells(ids: np.ndarray, offsets: np.ndarray, size: int, some: int = 64) -> np.ndarray:
+    """The cell of each document, whose ids lie between its offsets; ``some`` documents at a time."""
+    sums = [np.empty((0, DIMENSIONS))]
+    for at in range(0, len(offsets) - 1, some):
+        own = offsets[at : at + some + 1]
+        sums.append(np.add.reduceat(directions(size)[ids[own[0] : own[-1]]], own[:-1] - own[0], dtype=np.float64))
+    where = np.concatenate(sums) / np.sqrt(np.diff(offsets))[:, None]
     return np.minimum((0.5 + 0.5 * np.tanh(where / 4)) * (1 << ORDER), (1 << ORDER) - 1).astype(np.uint32)
 
 
@@ -139,12 +143,12 @@ def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(vocabulary)
-        for b in slices(batches):
-            ids = [tok.with_end(t) for t in b.column("text").to_pylist()]
-            ids = [np.frombuffer(x, np.uint32) for x in ids]
-            points = np.array([cells(x, tok.vocabulary_size) for x in ids]).reshape(-1, DIMENSIONS)
-            ids = [x.astype(stored(tok.vocabulary_size)).tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(hilbert_key(points)), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"])
+        size = tok.vocabulary_size
+        for b in text_slices(batches):
+            ids, offsets = tok.encode_all(b.column("text"))
+            keys = hilbert_key(cells(ids, offsets, size))
+            data = pa.array(map(bytes, np.split(ids.astype(stored(size)), offsets[1:-1])), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys), data], ["doc_id", "key", "ids"])
 
     found = texts(docs).mapInArrow(run, "doc_id long, key long, ids binary")
     tie = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << TIE_BITS) - 1))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeforge.llm.chunk_tokens import tokenizer, vocabulary_path
-from cladeforge.llm.common import fresh_path, materialise, open_output, partitions, read_file, slices, texts
+from cladeforge.llm.common import fresh_path, materialise, open_output, partitions, read_file, text_slices, texts
 
 MAGIC, HEAD = b"CFIDS01\0", struct.Struct("<8sIIQQ")
 BLOCK = 4096
@@ -71,9 +71,10 @@ class Writer:
         self.starts, self.offsets = [0], [0]
         self.payload, self.rest = bytearray(), np.empty(0, np.uint32)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.doc_ids.append(NO_ID if doc_id is None else doc_id)
-        self.starts.append(self.starts[-1] + len(ids))
+    def add(self, doc_ids: list[int | None], offsets: np.ndarray, ids: np.ndarray) -> None:
+        """Documents and where in ids each one's begin and end."""
+        self.doc_ids += [NO_ID if d is None else d for d in doc_ids]
+        self.starts += (offsets[1:] + self.starts[-1]).tolist()
         ids = np.concatenate([self.rest, ids]) if len(self.rest) else ids
         full = len(ids) // self.block * self.block
         for at in range(0, full, self.block):
@@ -127,10 +128,10 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, block: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, out = tokenizer(vocabulary), None
-        for b in slices(batches):
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                out = out or Writer(width(tok.vocabulary_size), block)
-                out.add(doc_id, np.frombuffer(tok.with_end(text), np.uint32))
+        for b in text_slices(batches):
+            out = out or Writer(width(tok.vocabulary_size), block)
+            ids, offsets = tok.encode_all(b.column("text"))
+            out.add(b.column("doc_id").to_pylist(), offsets, ids)
         if out:
             part = TaskContext.get().partitionId()
             out.save(path := f"{folder}/{part:06d}-{uuid.uuid4().hex}.ids")
