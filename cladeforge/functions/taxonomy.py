@@ -24,7 +24,12 @@ def parse(label: Column) -> Column:
     rising = F.aggregate(places, F.lit(0), lambda last, i: F.when((last >= 0) & (i > last), i).otherwise(-1)) >= 0
     rest = lambda p: F.substring(p, 3, 1 << 30)
     name = lambda p: F.when(rest(p).rlike(r"^\s*$"), "").otherwise(rest(p))
-    lineage = F.array(*(F.coalesce(F.try_element_at(F.transform(F.filter(parts, lambda p, r=r: F.startswith(p, F.lit(f"{r}:"))), name), F.lit(1)), F.lit("")) for r in RANKS))
+
+    def named(r: str) -> Column:
+        own = F.filter(parts, lambda p: F.startswith(p, F.lit(f"{r}:")))
+        return F.coalesce(F.try_element_at(F.transform(own, lambda p: name(p)), F.lit(1)), F.lit(""))
+
+    lineage = F.array(*map(named, RANKS))
     error = (
         F.when(label.isNull() | (F.size(pieces) != 2), "needs exactly one tax field")
         .when(F.exists(places, lambda i: i == 0), "unknown rank")

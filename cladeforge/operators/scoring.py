@@ -101,22 +101,21 @@ def consensus(won: DataFrame, names: DataFrame) -> DataFrame:
 
     At each rank the winners still in are counted by name. The best named taxon is taken (ties: the
     smallest name); an unnamed one only where nothing is named, and then without a call. Winners
-    outside it leave. Under half of the replicates: no calls. Seven grouped steps, none of which
-    gathers rows.
+    outside it leave. Under half of the replicates: no calls. Rows are one per query and lineage (100
+    at most a query), dealt once by query; all ranks are windows over that one exchange.
     """
     lines = won.join(names, "ref_id").groupBy("query", "lineage").agg(F.count("*").alias("n"))
-    quorum = lines.groupBy("query").agg(F.sum("n").alias("all")).where(F.col("all") >= BOOTSTRAPS // 2).select("query")
-    state = lines.join(quorum, "query")
-    calls = None
+    own = Window.partitionBy("query")
+    state = lines.withColumn("all", F.sum("n").over(own)).where(F.col("all") >= BOOTSTRAPS // 2).withColumn("in", F.lit(True))
     for r in range(LEVELS):
-        named = state.withColumn("name", F.col("lineage")[r]).groupBy("query", "name").agg(F.sum("n").alias("votes"))
-        best = F.min(F.struct((F.col("name") == "").alias("unnamed"), (-F.col("votes")).alias("less"), "name")).alias("best")
-        chosen = named.groupBy("query").agg(best, F.sum(F.when(F.col("name") != "", F.col("votes")).otherwise(0)).alias("informative"))
-        chosen = chosen.select("query", F.col("best.name").alias("name"), (-F.col("best.less")).alias("votes"), "informative")
-        call = chosen.where("name <> ''").select("query", F.lit(r).alias("rank"), "name", "votes", "informative")
-        calls = call if calls is None else calls.unionByName(call)
-        state = state.join(chosen.select("query", F.col("name").alias("taken")), "query").where(F.col("lineage")[r] == F.col("taken")).drop("taken")
-    return calls
+        name = F.col("lineage")[r]
+        state = state.withColumn("name", name).withColumn("counted", F.when(F.col("in"), F.col("n")).otherwise(0))
+        state = state.withColumn("votes", F.sum("counted").over(Window.partitionBy("query", "name")))
+        best = F.min(F.when(F.col("in"), F.struct((F.col("name") == "").alias("unnamed"), (-F.col("votes")).alias("less"), "name"))).over(own)
+        state = state.withColumn("best", best).withColumn("informative", F.sum(F.when(F.col("name") != "", F.col("counted")).otherwise(0)).over(own))
+        call = F.struct(F.lit(r).alias("rank"), F.col("best.name").alias("name"), (-F.col("best.less")).alias("votes"), "informative")
+        state = state.withColumn(f"call{r}", call).withColumn("in", F.col("in") & (F.col("name") == F.col("best.name"))).drop("name", "counted", "votes", "best", "informative")
+    return state.groupBy("query").agg(F.array(*(F.first(f"call{r}") for r in range(LEVELS))).alias("calls")).select("query", F.explode("calls").alias("call")).select("query", "call.*").where("name <> ''")
 
 
 def support(calls: DataFrame, adjusted: bool = True, min_informative: float = 0.5) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cladeforge.operators import curate, index, rank
 from cladeforge.operators.curate import Policy
+from cladeforge.sources.shared import materialise
 
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _RARE = {"j": "-", "k": "w", "q": "u", "x": "r", "z": "n"}
@@ -78,7 +79,9 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curate.survey(reference_records(spark, sf_dir))
+    """The survey, written once: plans and selections read it many times, and it is a small share of
+    the sequences."""
+    return materialise(curate.survey(reference_records(spark, sf_dir)), "survey")
 
 
 def digest(words: F.Column) -> F.Column:

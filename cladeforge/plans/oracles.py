@@ -95,7 +95,7 @@ CTES = {
       FROM vocab v JOIN lin l USING (ordinal)""",
     "sketches": "SELECT ref_id AS ordinal, list_slice(list_sort(list(hash)), 1, 32) AS sketch FROM post JOIN hashes USING (word) GROUP BY 1 UNION ALL SELECT ordinal, [] FROM summ WHERE words = 0",
     "grp": "SELECT *, row_number() OVER (ORDER BY first) - 1 AS g FROM (SELECT leaf, count(*) AS records, min(ordinal) AS first, any_value(lineage) AS lineage, any_value(order_path) AS order_path FROM summ GROUP BY leaf)",
-    "cover": "SELECT order_path, sum(records) AS annotated FROM grp WHERE lineage[7] <> '' GROUP BY 1",
+    "cover": "SELECT order_path, CAST(sum(records) AS BIGINT) AS annotated FROM grp WHERE lineage[7] <> '' GROUP BY 1",
     "classed": """SELECT grp.*, annotated, CASE WHEN lineage[6] <> '' OR lineage[7] <> '' THEN NULL WHEN lineage[5] = '' THEN 'unplaced' WHEN annotated IS NOT NULL THEN 'covered' ELSE 'orphan' END AS class
       FROM grp LEFT JOIN cover USING (order_path)""",
     "caps": f"""SELECT *, CASE WHEN class IS NULL THEN {P.cap} WHEN class = 'unplaced' THEN {P.shallow_unplaced} WHEN class = 'orphan' THEN {P.shallow_orphan}
@@ -174,15 +174,15 @@ ORACLES = {
         "policy_flags": f"SELECT ordinal, {_OVER} AS demoted, {_BIG} AS oversize, {_LOW} AS low_complexity, {_AMB} AS is_ambiguous, {_REJECT} AS rejected FROM summ",
         "oversize_list": f"SELECT label, length FROM summ WHERE {_OVER}",
         "dedup_exact": "SELECT min(ordinal) AS ordinal FROM summ GROUP BY leaf, seq",
-        "duplicate_audit": "SELECT coalesce(sum(n - k), 0) AS duplicates, count(*) FILTER (k > 1) AS conflicting FROM (SELECT seq, count(*) AS n, count(DISTINCT leaf) AS k FROM summ GROUP BY seq)",
+        "duplicate_audit": "SELECT CAST(coalesce(sum(n - k), 0) AS BIGINT) AS duplicates, count(*) FILTER (k > 1) AS conflicting FROM (SELECT seq, count(*) AS n, count(DISTINCT leaf) AS k FROM summ GROUP BY seq)",
         "length_percentiles": "SELECT l[1] AS min, " + ", ".join(f"l[least(CAST(floor(n * {q}) AS BIGINT), n - 1) + 1] AS {name}" for name, q in {"p01": 0.01, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}.items()) + ", l[n] AS max, round(m, 6) AS mean FROM (SELECT list_sort(list(length)) AS l, count(*) AS n, avg(length) AS m FROM summ)",
-        "cap_curve": "SELECT cap, sum(least(records, cap)) AS records FROM grp, unnest([1, 2, 3, 5, 10, 20, 25, 50, 100, 250, 500, 1000, 2500]) t(cap) GROUP BY cap",
-        "occupancy_classes": f"SELECT {_CLASS} AS class, count(*) AS records, sum(length) AS bases FROM summ GROUP BY 1",
+        "cap_curve": "SELECT cap, CAST(sum(least(records, cap)) AS BIGINT) AS records FROM grp, unnest([1, 2, 3, 5, 10, 20, 25, 50, 100, 250, 500, 1000, 2500]) t(cap) GROUP BY cap",
+        "occupancy_classes": f"SELECT {_CLASS} AS class, count(*) AS records, CAST(sum(length) AS BIGINT) AS bases FROM summ GROUP BY 1",
         "occupancy_domains": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY records DESC, domain) AS place FROM (SELECT {_CLASS} AS class, lineage[1] AS domain, count(*) AS records FROM summ GROUP BY ALL)) WHERE place <= 3",
         "truncation_artifact": "SELECT length, count(*) AS records FROM summ WHERE length > 4096 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1",
-        "plan_totals": f"SELECT count(*) AS records, count(*) FILTER (organellar) AS organellar, coalesce(sum(length) FILTER (organellar), 0) AS organellar_bases, count(*) FILTER ({_OVER}) AS demoted, coalesce(sum(length) FILTER ({_OVER}), 0) AS demoted_bases, count(*) FILTER ({_LOW}) AS low_complexity, count(*) FILTER ({_AMB}) AS ambiguous FROM summ",
+        "plan_totals": f"SELECT count(*) AS records, count(*) FILTER (organellar) AS organellar, CAST(coalesce(sum(length) FILTER (organellar), 0) AS BIGINT) AS organellar_bases, count(*) FILTER ({_OVER}) AS demoted, CAST(coalesce(sum(length) FILTER ({_OVER}), 0) AS BIGINT) AS demoted_bases, count(*) FILTER ({_LOW}) AS low_complexity, count(*) FILTER ({_AMB}) AS ambiguous FROM summ",
         "order_coverage": "SELECT * FROM cover",
-        "shallow_classes": "SELECT class, count(*) AS lineages, sum(records) AS records FROM classed WHERE class IS NOT NULL GROUP BY class",
+        "shallow_classes": "SELECT class, count(*) AS lineages, CAST(sum(records) AS BIGINT) AS records FROM classed WHERE class IS NOT NULL GROUP BY class",
         "group_caps": "SELECT g, records, class, cap FROM caps",
         "restored_groups": "SELECT g, ordinal FROM back",
         "select_first": "SELECT g, ordinal FROM first_kept",
@@ -194,6 +194,6 @@ ORACLES = {
         "diversity_probe": f"""SELECT a.ordinal, b.ordinal AS partner, round(1 - ({_jaccard('a.sketch', 'b.sketch')}), 6) AS distance FROM (SELECT *, count(*) OVER (PARTITION BY leaf) AS n FROM probe) a JOIN probe b ON b.leaf = a.leaf AND b.i = (a.i + greatest(a.n // 2, 1)) % a.n
           WHERE a.n > 1 AND a.i < 64""",
         "sketch_jaccard": f"SELECT s.ordinal, g.first AS other, round({_jaccard('a.sketch', 'b.sketch')}, 6) AS jaccard FROM summ s JOIN grp g USING (leaf) JOIN sketches a ON a.ordinal = s.ordinal JOIN sketches b ON b.ordinal = g.first",
-        "lsh_density": "SELECT s.ordinal, coalesce(d.density, 0) AS density FROM summ s LEFT JOIN (SELECT ordinal, sum(n - 1) AS density FROM (SELECT *, count(*) OVER (PARTITION BY leaf, b, key) AS n FROM bands) GROUP BY 1) d USING (ordinal)",
+        "lsh_density": "SELECT s.ordinal, CAST(coalesce(d.density, 0) AS BIGINT) AS density FROM summ s LEFT JOIN (SELECT ordinal, sum(n - 1) AS density FROM (SELECT *, count(*) OVER (PARTITION BY leaf, b, key) AS n FROM bands) GROUP BY 1) d USING (ordinal)",
     }.items()
 }

@@ -10,6 +10,7 @@ from cladeforge.functions.hashing import SplitMix
 from cladeforge.operators import curate, index, logistic, rank, scoring
 from cladeforge.plans import derived as D
 from cladeforge.plans.derived import CANDIDATES, POLICY
+from cladeforge.sources.shared import materialise
 
 QUERIES = {}
 PARAMS = {r: [0.2 + 0.05 * i, 6.0, 3.0, 2.5, 0.1, -1.5, -2.0] for i, r in enumerate("dkpcofg")}
@@ -64,6 +65,12 @@ def minhash_sketch(spark: SparkSession, d: str) -> DataFrame:
     return D.summaries(spark, d).select("ordinal", F.array_join("sketch", ",").alias("sketch"))
 
 
+def _taxonomy(spark, d):
+    """Nodes and references, each written once for the steps that read them again."""
+    tree = materialise(D.tree(spark, d), "nodes")
+    return tree, materialise(index.references(D.parsed(spark, d), tree).drop("seq", "words"), "references")
+
+
 # -- index ------------------------------------------------------------------------------------
 
 
@@ -95,7 +102,8 @@ def taxon_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def node_stats(spark: SparkSession, d: str) -> DataFrame:
-    return index.node_stats(D.tree(spark, d), D.refs(spark, d))
+    tree, refs = _taxonomy(spark, d)
+    return index.node_stats(tree, refs)
 
 
 @query
@@ -163,13 +171,13 @@ def splitmix_bounded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark, d):
-    return rank.select(D.counts(spark, d), CANDIDATES)
+    return materialise(rank.select(D.counts(spark, d), CANDIDATES), "candidates")
 
 
 def _scores(spark, d):
     post = D.postings(spark, d)
     weights = index.word_weights(index.document_frequency(post).withColumnRenamed("df", "n"))
-    return scoring.scores(scoring.draws(D.query_records(spark, d)), post, weights, _candidates(spark, d))
+    return materialise(scoring.scores(scoring.draws(D.query_records(spark, d)), post, weights, _candidates(spark, d)), "scores")
 
 
 @query
@@ -198,7 +206,7 @@ def _names(spark, d):
 
 @query
 def consensus_calls(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.consensus(tie_pick(spark, d), _names(spark, d))
+    return materialise(scoring.consensus(tie_pick(spark, d), _names(spark, d)), "calls")
 
 
 @query
@@ -254,7 +262,7 @@ def _winners(spark, d):
 
 
 def _design(spark, d):
-    tree, refs = D.tree(spark, d), D.refs(spark, d)
+    tree, refs = _taxonomy(spark, d)
     return logistic.design(_hits(spark, d).select("query", "ref_id", "similarity"), _winners(spark, d), refs, index.node_stats(tree, refs), tree)
 
 
@@ -272,7 +280,7 @@ def protax_softmax(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def protax_resolve(spark: SparkSession, d: str) -> DataFrame:
-    tree, refs = D.tree(spark, d), D.refs(spark, d)
+    tree, refs = _taxonomy(spark, d)
     steps = logistic.resolve(logistic.softmax(_design(spark, d), PARAMS), logistic.unnamed(_hits(spark, d), refs, tree))
     return steps.select("query", "rank", "node", F.round("probability", 6).alias("probability"), F.round("novel", 6).alias("novel"))
 
@@ -365,34 +373,34 @@ def group_caps(spark: SparkSession, d: str) -> DataFrame:
 @query
 def restored_groups(spark: SparkSession, d: str) -> DataFrame:
     s = D.summaries(spark, d)
-    _, back = curate.eligible(s, curate.groups(s), POLICY)
+    _, back = curate.eligible(s, materialise(curate.groups(s), "groups"), POLICY)
     return back.select("g", "ordinal")
 
 
 @query
 def select_first(spark: SparkSession, d: str) -> DataFrame:
     s = D.summaries(spark, d)
-    return curate.select_first(s, curate.groups(s), POLICY).select("g", "ordinal")
+    return curate.select_first(s, materialise(curate.groups(s), "groups"), POLICY).select("g", "ordinal")
 
 
 @query
 def drop_counts(spark: SparkSession, d: str) -> DataFrame:
     s = D.summaries(spark, d)
-    g = curate.groups(s)
-    return curate.drop_counts(s, g, POLICY, curate.select_first(s, g, POLICY))
+    g = materialise(curate.groups(s), "groups")
+    return curate.drop_counts(s, g, POLICY, materialise(curate.select_first(s, g, POLICY), "kept"))
 
 
 @query
 def curation_invariants(spark: SparkSession, d: str) -> DataFrame:
     s = D.summaries(spark, d)
-    g = curate.groups(s)
-    return curate.invariants(g, POLICY, curate.select_first(s, g, POLICY))
+    g = materialise(curate.groups(s), "groups")
+    return curate.invariants(g, POLICY, materialise(curate.select_first(s, g, POLICY), "kept"))
 
 
 @query
 def hazard_after(spark: SparkSession, d: str) -> DataFrame:
     s = D.summaries(spark, d)
-    return curate.hazard_after(curate.select_first(s, curate.groups(s), POLICY), POLICY)
+    return curate.hazard_after(curate.select_first(s, materialise(curate.groups(s), "groups"), POLICY), POLICY)
 
 
 @query
@@ -418,16 +426,16 @@ def lsh_density(spark: SparkSession, d: str) -> DataFrame:
 @query
 def select_random(spark: SparkSession, d: str) -> DataFrame:
     s = D.summaries(spark, d)
-    return curate.select_random(s, curate.groups(s), POLICY).select("ordinal")
+    return curate.select_random(s, materialise(curate.groups(s), "groups"), POLICY).select("ordinal")
 
 
 @query
 def select_maxmin(spark: SparkSession, d: str) -> DataFrame:
     s = D.summaries(spark, d)
-    return curate.select_maxmin(s, curate.groups(s), POLICY).select("ordinal")
+    return curate.select_maxmin(s, materialise(curate.groups(s), "groups"), POLICY).select("ordinal")
 
 
 @query
 def select_cover(spark: SparkSession, d: str) -> DataFrame:
     s = D.summaries(spark, d)
-    return curate.select_cover(s, curate.groups(s), POLICY).select("ordinal")
+    return curate.select_cover(s, materialise(curate.groups(s), "groups"), POLICY).select("ordinal")
