@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,13 +47,16 @@ def holdout_rank(counted: DataFrame, located: DataFrame, refs: DataFrame, rank:
     return joined.where(F.col("clade").isNull() | (F.col("clade") < 0) | (F.col("clade") != F.col("node"))).select("query", "ref_id", "count")
 
 
+def binomial_term(n: int, p: F.Column, k: int) -> F.Column:
+    """P(Binomial(n, p) = k)."""
+    return F.lit(float(comb(n, k))) * F.pow(p, F.lit(k)) * F.pow(1 - p, F.lit(n - k))
+
+
 def binomial_tail(n: int, p: F.Column, least: int) -> F.Column:
     """P(Binomial(n, p) >= least), summed from the top."""
-    from math import comb
-
     if least <= 0:
         return F.lit(1.0)
-    terms = sum((F.lit(float(comb(n, k))) * F.pow(p, F.lit(k)) * F.pow(1 - p, F.lit(n - k)) for k in range(n, least - 1, -1)), F.lit(0.0))
+    terms = sum((binomial_term(n, p, k) for k in range(n, least - 1, -1)), F.lit(0.0))
     return F.when(p <= 0, 0.0).when(p >= 1, 1.0).otherwise(F.least(terms, F.lit(1.0)))
 
 

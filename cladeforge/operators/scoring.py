@@ -38,14 +38,14 @@ def draw(sequence: str, vocabulary: int, seed: int, strand: int = 0, domains=DOM
     return np.stack([streams.bounded(vocabulary) for _ in range(SAMPLE_SIZE)], axis=1).astype(np.int64)
 
 
-def draws(queries: DataFrame, seed: int = 1, domains=DOMAINS) -> DataFrame:
+def draws(queries: DataFrame, seed: int = 1, domains=DOMAINS, strand: int = 0) -> DataFrame:
     """query, boot, word, mult: drawn words of queries(query, seq, words) with at least SAMPLE_SIZE
     words, with the times each was drawn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for q, s, w in zip(b.column("query").to_pylist(), b.column("seq").to_pylist(), b.column("words").to_pylist(), strict=True):
-                found = draw(s, len(w), seed, 0, domains)
+                found = draw(s, len(w), seed, strand, domains)
                 code = np.arange(BOOTSTRAPS)[:, None] * len(w) + found
                 some, times = np.unique(code, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"query": pa.array([q] * len(some), pa.int64()), "boot": pa.array(some // len(w), pa.int32()), "word": pa.array(w).take(pa.array(some % len(w))), "mult": pa.array(times, pa.int32())})
@@ -75,7 +75,7 @@ def tops(scored: DataFrame) -> DataFrame:
     return scored.join(best, ["query", "boot", "score"], "left_semi").groupBy("query", "boot", "score").agg(F.array_sort(F.collect_list("ref_id")).alias("ties"))
 
 
-def picks(topped: DataFrame, queries: DataFrame, seed: int = 1, domains=DOMAINS) -> DataFrame:
+def picks(topped: DataFrame, queries: DataFrame, seed: int = 1, domains=DOMAINS, strand: int = 0) -> DataFrame:
     """query, boot, score, ref_id: the winner of each replicate that reaches FLOOR, ties broken by
     the replicate's own generator."""
 
@@ -85,7 +85,7 @@ def picks(topped: DataFrame, queries: DataFrame, seed: int = 1, domains=DOMAINS)
             out = []
             for q, s, boot, score, ties in zip(*(b.column(c).to_pylist() for c in ("query", "seq", "boot", "score", "ties")), strict=True):
                 if q not in known:
-                    known[q] = stream_seeds(s, seed, 0, 1, domains)
+                    known[q] = stream_seeds(s, seed, strand, 1, domains)
                 at = SplitMix(known[q][boot : boot + 1]).bounded(len(ties))[0]
                 out.append((q, boot, score, ties[int(at)]))
             if out:
