@@ -69,15 +69,22 @@ def fingerprint(text: str, shingle: int = 3, block: int = 1 << 14) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def digest() -> F.Column:
+    """The text of a row as a key; with doc_id it names a row whose id is null or used again."""
+    return F.md5(F.coalesce(F.col("text"), F.lit("")))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, digests: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long); with ``digests`` also the digest of the text."""
+    keys = ["doc_id", "digest"] if digests else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             fp = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, keys), pa.array(fp)], [*keys, "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    more = [digest().alias("digest")] if digests else []
+    return texts(docs, *more).mapInArrow(run, f"doc_id long,{' digest string,' if digests else ''} fp long")
 
 
 def _signed(x: int) -> int:
@@ -147,14 +154,19 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, blocks: int = 3) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (smallest doc_id that links reach)."""
-    prints = materialise(fingerprints(docs, shingle), "fingerprints")
+def _roots(prints: DataFrame, blocks: int) -> DataFrame:
+    """fp, first (its smallest doc_id), root (equal for what links reach) of each fingerprint."""
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     edges = materialise(links(materialise(with_partners(nodes.select("fp"), blocks), "candidates")), "links")
     roots = components(edges)
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = materialise(named, "roots")
+    return materialise(named, "roots")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, blocks: int = 3) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (smallest doc_id that links reach)."""
+    prints = materialise(fingerprints(docs, shingle), "fingerprints")
+    named = _roots(prints, blocks)
     ids = materialise(named.groupBy("root").agg(F.min("first").alias("component_id")), "ids")
     by_print = materialise(named.join(ids, "root").select("fp", "component_id"), "components")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
@@ -165,11 +177,21 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, blocks: int = 3) -> DataFrame:
-    """The documents whose id is the smallest of their component, with all their columns.
+def survivors(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of docs, the first row of each component of rows(doc_id, digest, root), with all columns.
 
-    Repeated ids: one row of the id stays.
+    First is the smallest doc_id (null ids last), then the smallest digest of the text. The row is
+    found again by both, so that a null or reused id costs no other text. Rows equal in both: one.
     """
-    found = near_duplicates(docs, shingle, blocks)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("k"))
+    first = least.select(F.col("k.doc_id").alias("__first_id"), F.col("k.digest").alias("__first_digest"))
+    own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__digest", digest())
+    same = F.col("__id").eqNullSafe(F.col("__first_id")) & (F.col("__digest") == F.col("__first_digest"))
+    return own.join(first, same, "left_semi").dropDuplicates(["__id", "__digest"]).drop("__id", "__digest")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, blocks: int = 3) -> DataFrame:
+    """The first document of each component (see survivors), with all its columns."""
+    prints = materialise(fingerprints(docs, shingle, digests=True), "fingerprints")
+    rows = prints.join(_roots(prints, blocks).select("fp", "root"), "fp")
+    return survivors(docs, rows)

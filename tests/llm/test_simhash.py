@@ -76,3 +76,11 @@ def test_documents(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(first.values()))
     assert simhash.near_duplicate_report(docs.where(F.lit(False))).count() == 0
+
+
+def test_null_and_reused_ids_lose_no_text(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(None, a, "n"), (None, b, "n"), (None, b, "n"), (3, c, "x"), (5, c, "y"), (5, d, "z"), (7, a, "w"), (None, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(None, b), (3, c), (5, d), (7, a), (None, None)], key=str)
