@@ -8,13 +8,13 @@ least ``THRESHOLD`` in all and ``PER_CHAR`` a character is a ``random`` span.
 The models are trained from labelled samples: (string, 1 for random). By default
 
 * random: strings drawn with a fixed seed over the alphabets of keys and tokens (hex, upper case
-  with digits, base 62, base 64), and the values that the fixed patterns find in the sample;
-* ordinary: words of the sampled documents, alone and joined as snake_case, kebab-case, camelCase
+  with digits, base 62, base 64), and the values that the fixed patterns find in the documents;
+* ordinary: words of all documents, alone and joined as snake_case, kebab-case, camelCase
   and paths of up to ``JOINED`` words, with an occasional number.
 
-The sample is SAMPLE_DOCS documents, those of the smallest hash of doc_id: a bound on what is read
-for training, and the only part that doesn't see all documents. Counts are summed by Spark and at
-most alphabet^3 of them reach the driver.
+Every document is read for training, so that a rare language or source is known as well. A task
+sums its counts before it emits them; at most alphabet^3 a label are shuffled by a task and reach the
+driver.
 
 Edge cases: null text is empty; repeated rows give a row each; other columns are ignored; an empty
 table gives no rows (the models then have the drawn strings only); whole texts are scanned.
@@ -39,11 +39,13 @@ from cladeforge.llm.common import slices, texts
 
 MIN_RUN = 16
 THRESHOLD, PER_CHAR = 20.0, 1.5
-SAMPLE_DOCS, JOINED, DRAWN = 2_000, 4, 4_000
+JOINED, DRAWN = 4, 4_000
 SMOOTHING = 8.0
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
 _CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}  # 0: before the first character
 _N = len(ALPHABET) + 1
+_CODES = np.zeros(256, np.int64)
+_CODES[list(ALPHABET.encode())] = np.arange(1, _N)
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _WORD = re.compile(r"[A-Za-z]{2,}")
 _LETTER = re.compile("[A-Za-z]")
@@ -126,32 +128,37 @@ def train(samples: Iterable[tuple[str, int]]) -> Models:
     return Models(*counts)
 
 
-def sample_ids(docs: DataFrame, count: int = SAMPLE_DOCS) -> DataFrame:
-    """At most ``count`` doc_ids, those of the smallest hash; only ids are moved."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(count).distinct()
+def counted(values: list[str]) -> np.ndarray:
+    """How often each gram is in the values; two marks of code 0 before each end the one before."""
+    c = _CODES[np.frombuffer("".join(f"\0\0{v}" for v in values).encode(), np.uint8)]
+    found = (c[:-2] * _N + c[1:-1]) * _N + c[2:]
+    return np.bincount(found[c[2:] > 0], minlength=_N**3)
 
 
-def models(docs: DataFrame, count: int = SAMPLE_DOCS) -> Models:
-    """Trained on the sample of the corpus and on drawn strings."""
+def models(docs: DataFrame) -> Models:
+    """Trained on all documents of the corpus and on drawn strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, _N**3), np.int64)
         for b in slices(batches):
-            n: Counter[tuple[int, int]] = Counter()
+            values: tuple[list[str], list[str]] = ([], [])
             for text in b.column("text").to_pylist():
                 found = spans.secrets(text)
                 for _, a, z in found:
-                    for value in _RUN.findall(text[a:z]):
-                        n.update((1, g) for g in grams(value))
-                words = [m[0] for m in _WORD.finditer(text) if not spans.overlaps(found, *m.span())]
-                for name in identifiers(words, xxhash.xxh32_intdigest(text.encode())):
-                    n.update((0, g) for g in grams(name))
-            keys = list(n)
-            yield pa.RecordBatch.from_pydict({"label": pa.array([k[0] for k in keys], pa.int64()), "gram": pa.array([k[1] for k in keys], pa.int64()), "n": pa.array(n.values(), pa.int64())})
-
-    some = texts(docs).join(F.broadcast(sample_ids(docs, count)), "doc_id", "left_semi")  # at most ``count`` longs
+                    values[1].extend(_RUN.findall(text[a:z]))
+                words = [m[0] for m in _WORD.finditer(text) if not spans.overlaps(found, *m.span())] if found else _WORD.findall(text)
+                values[0].extend(identifiers(words, xxhash.xxh32_intdigest(text.encode())))
+                if len(values[0]) >= 1 << 12:
+                    n[0] += counted(values[0])
+                    values[0].clear()
+            for label in (0, 1):
+                if values[label]:
+                    n[label] += counted(values[label])
+        label, gram = np.nonzero(n)
+        yield pa.RecordBatch.from_pydict({"label": pa.array(label, pa.int64()), "gram": pa.array(gram, pa.int64()), "n": pa.array(n[label, gram], pa.int64())})
+
     counts = np.zeros((2, _N**3))
-    for r in some.mapInArrow(run, "label long, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n")).collect():
+    for r in texts(docs).mapInArrow(run, "label long, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n")).collect():
         counts[r.label, r.gram] = r.n
     for text in drawn_strings():
         np.add.at(counts[1], grams(text), 1)

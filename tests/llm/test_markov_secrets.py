@@ -54,3 +54,17 @@ def test_report_and_redact(spark):
     assert clean[100].text == "see [secret] here" and clean[101].text is None and clean[103].text == "[secret]\" end"
     assert ms.redact(docs).schema == docs.schema
     assert ms.report(docs.where(F.lit(False))).count() == 0
+
+
+def test_every_document_is_counted(spark):
+    """More documents than any fixed sample: the models are those of plain Python over all of them."""
+    rows = [(i, " ".join(random.Random(i).choices(WORDS, k=6))) for i in range(2600)]
+    rows += [(None, "gruezi zmorge"), (2600, 'token = "0123456789abcdef0123456789abcdef" end'), (2601, None)]
+    samples = [(s, 1) for s in ms.drawn_strings()]
+    for _, text in rows:
+        found = spans.secrets(text or "")
+        samples += [(v, 1) for _, a, z in found for v in ms._RUN.findall(text[a:z])]
+        words = [m[0] for m in ms._WORD.finditer(text or "") if not spans.overlaps(found, *m.span())]
+        samples += [(s, 0) for s in ms.identifiers(words, ms.xxhash.xxh32_intdigest((text or "").encode()))]
+    got = ms.models(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert (got.ratio == ms.train(samples).ratio).all()
