@@ -1,28 +1,36 @@
 """Personal data, and the terms that disclose it.
 
 Base spans (email, ip, card, phone) are protected entities. A *term* is a run of letters. Over
-the corpus, for an entity e and a term t that stands within ``WINDOW`` words of it:
+the corpus, for an entity e and a term t that stands within ``WINDOW`` words of it (a sentence or two):
 
     PMI(e; t) = ln( N * n(e, t) / (n(e) * n(t)) )     IC(e) = ln( N / n(e) )
 
 n(.) counts documents (N all of them), n(e, t) those where t stands near e. PMI / IC is the share
 of the entity's information that t discloses: 1 when t is met only with e. A term is sanitised
 wherever it stands if for some entity the share is at least ``GENERALISE``; from ``REMOVE`` on it is
-removed, below that it is replaced by the entity's kind. Chance and copies are no evidence: n(e, t)
-must come from ``EVIDENCE`` different surroundings (the words around the entity), and exact or near
-copies of a document share theirs.
+removed, below that it is replaced by the entity's kind.
+
+Chance and copies are no evidence. The ``AROUND`` words on both sides of the entity are its surroundings;
+they are named by the smallest hash of their pairs of adjacent words, which copies and most near
+copies share. A term needs ``EVIDENCE`` different surroundings, or as many as the entity has documents
+but two at least; and half of n(e, t) or more must be different surroundings, so that a family of near
+copies, some of which change a word by the entity, doesn't count as many witnesses.
 
 Three passes over the texts, no text is moved: (1) base spans and their neighbouring terms; (2)
 document counts of the terms that have enough evidence; (3) base spans again and occurrences of
-disclosing terms. Term sets reach tasks as a bit filter of fixed size (2^20 bits); what passes is
-settled by exact joins. Where no term has enough evidence, passes 2 and part of 3 have nothing to do.
+disclosing terms. Term sets reach tasks as a bit filter of ``BITS_PER_TERM`` bits a term (at most
+FILTER_MOST; past that it passes more, and only costs); what passes is settled by exact joins. Only
+texts in which something passed travel on. Where no term has enough evidence, passes 2 and part of 3
+have nothing to do. Each pass is linear in a text, however many spans it holds.
 
-Edge cases: null text is empty; repeated rows give a row each; other columns are ignored; an empty
-table gives no rows; texts of any length are read whole.
+Edge cases: null text is empty; repeated rows give a row each; null ids are kept; other columns are
+ignored; an empty table gives no rows; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,11 +44,11 @@ from pyspark.sql import functions as F
 from cladeforge.llm import spans
 from cladeforge.llm.common import materialise, slices, texts
 
-WINDOW, AROUND = 4, 12
+WINDOW, AROUND = 24, 12
 EVIDENCE = 3
 GENERALISE, REMOVE = 0.8, 0.95
 MIN_TERM = 3
-FILTER_BITS, FILTER_HASHES = 1 << 20, 3
+BITS_PER_TERM, FILTER_LEAST, FILTER_MOST, FILTER_HASHES = 16, 1 << 16, 1 << 26, 3
 MEMO_TERMS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -50,70 +58,87 @@ def entity_key(kind: str, text: str) -> str:
     return f"{kind}:{value}"
 
 
+def surroundings(left: list[str], right: list[str]) -> int:
+    """A name for the words before and after an entity that like surroundings mostly share."""
+    words = [*left, "|", *right]
+    return min(xxhash.xxh64_intdigest(f"{a} {b}".encode()) for a, b in zip(words, words[1:] or [""], strict=False)) >> 1
+
+
 def neighbours(text: str) -> Iterator[tuple[str, str, int]]:
     """(entity, term, surroundings) once for each entity and term of the text; ('', entity, 0) for
     each entity."""
     found = spans.pii(text)
+    if not found:
+        return
+    words, starts = [], []
+    for m in spans.outside(_WORD, text, found):
+        words.append(m[0].casefold())
+        starts.append(m.start())
     seen = set()
     for kind, a, b in found:
         entity = entity_key(kind, text[a:b])
-        # a word of the longest kind may be cut at the edge of the slice: such words are dropped
-        left = _words(text, max(0, a - 40 * AROUND), a, found)[-AROUND:]
-        right = _words(text, b, b + 40 * AROUND, found)[:AROUND]
-        around = xxhash.xxh64_intdigest(" ".join([*left, "|", *right]).encode()) >> 1
+        before, after = bisect.bisect_left(starts, a), bisect.bisect_left(starts, b)
+        around = surroundings(words[max(0, before - AROUND) : before], words[after : after + AROUND])
         if (entity,) not in seen:
             seen.add((entity,))
             yield "", entity, 0
-        for term in {w for w in left[-WINDOW:] + right[:WINDOW] if len(w) >= MIN_TERM}:
+        for term in {w for w in words[max(0, before - WINDOW) : before] + words[after : after + WINDOW] if len(w) >= MIN_TERM}:
             if (entity, term) not in seen:
                 seen.add((entity, term))
                 yield entity, term, around
 
 
-def _words(text: str, a: int, b: int, found: list[spans.Span]) -> list[str]:
-    out = []
-    for m in _WORD.finditer(text, a, min(b, len(text))):
-        cut = m.start() == a > 0 and text[a - 1].isalpha() or m.end() == b < len(text) and text[b].isalpha()
-        if not cut and not spans.overlaps(found, *m.span()):
-            out.append(m[0].casefold())
-    return out
+def enough(n_et: F.Column, different: F.Column, n_e: F.Column) -> F.Column:
+    """Whether so many different surroundings are evidence."""
+    return (different >= F.greatest(F.lit(2), F.least(F.lit(EVIDENCE), n_e))) & (2 * different >= n_et)
 
 
-def evidence(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entity, term, n_et) with enough evidence, and (entity, n_e)."""
+def evidence(docs: DataFrame) -> DataFrame:
+    """(entity, term, n_et, n_e) with enough evidence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            rows = [r for t in b.column("text").to_pylist() for r in neighbours(t)]
+            rows = []
+            for t in b.column("text").to_pylist():
+                rows += neighbours(t)
+                if len(rows) >= 1 << 16:
+                    yield _met(rows)
+                    rows = []
             if rows:
-                e, t, a = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_pydict({"entity": pa.array(e), "term": pa.array(t), "around": pa.array(a, pa.int64())})
+                yield _met(rows)
 
     met = texts(docs).mapInArrow(run, "entity string, term string, around long").groupBy("entity", "term", "around").agg(F.count("*").alias("n"))
-    met = materialise(met.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("evidence")), "neighbours")
+    met = materialise(met.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("different")), "neighbours")
     entities = met.where("entity = ''").select(F.col("term").alias("entity"), F.col("n_et").alias("n_e"))
-    return met.where((F.col("entity") != "") & (F.col("evidence") >= EVIDENCE)).drop("evidence"), entities
+    some = met.where("entity <> '' and different >= 2").join(entities.where("n_e >= 2"), "entity")
+    return materialise(some.where(enough(F.col("n_et"), F.col("different"), F.col("n_e"))).drop("different"), "evidence")
+
 
+def _met(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
+    e, t, a = zip(*rows, strict=True)
+    return pa.RecordBatch.from_pydict({"entity": pa.array(e), "term": pa.array(t), "around": pa.array(a, pa.int64())})
 
-def _slots(term: str) -> list[int]:
-    h = xxhash.xxh64_intdigest(term.encode())
-    return [(h >> 20 * k) % FILTER_BITS for k in range(FILTER_HASHES)]
+
+def _slots(term: str, bits: int) -> list[int]:
+    h = xxhash.xxh3_128_intdigest(term.encode())
+    return [(h >> 40 * k) % bits for k in range(FILTER_HASHES)]
 
 
 def term_filter(terms: DataFrame) -> bytes:
-    """A bit filter of terms(term): FILTER_BITS bits, whatever the number of terms; b'' for none."""
+    """A bit filter of different terms(term), sized by their number; b'' for none."""
+    count = terms.count()
+    if not count:
+        return b""
+    size = min(FILTER_MOST, max(FILTER_LEAST, 1 << (BITS_PER_TERM * count - 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = sorted({s for t in b.column("term").to_pylist() for s in _slots(t)})
+            at = sorted({s for t in b.column("term").to_pylist() for s in _slots(t, size)})
             yield pa.RecordBatch.from_pydict({"word": pa.array([s >> 5 for s in at], pa.int64()), "bit": pa.array([1 << (s & 31) for s in at], pa.int64())})
 
-    words = terms.select("term").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    if not words:
-        return b""
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    for r in words:
-        out[r.word] = r.bits
+    words = terms.select("term").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # size / 32 rows at most
+    out = np.zeros(size // 32, np.uint32)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
     return out.tobytes()
 
 
@@ -128,7 +153,7 @@ class Filter:
         known = self.memo.get(word)
         if known is None:
             term = word.casefold()
-            known = term if len(term) >= MIN_TERM and all(int(self.bits[s >> 5]) >> (s & 31) & 1 for s in _slots(term)) else ""
+            known = term if len(term) >= MIN_TERM and all(int(self.bits[s >> 5]) >> (s & 31) & 1 for s in _slots(term, 32 * len(self.bits))) else ""
             if len(self.memo) >= MEMO_TERMS:
                 self.memo.clear()
             self.memo[word] = known
@@ -152,7 +177,7 @@ def document_counts(docs: DataFrame, bits: bytes) -> DataFrame:
 
 def disclosing_terms(docs: DataFrame) -> tuple[DataFrame, bytes]:
     """term, kind, share for each term over the threshold (its strongest entity), and their filter."""
-    pairs, entities = evidence(docs)
+    pairs = evidence(docs)
     bits = term_filter(pairs.select("term").distinct())
     if not bits:
         return pairs.select("term", F.lit("").alias("kind"), F.lit(0.0).alias("share")), b""
@@ -160,18 +185,19 @@ def disclosing_terms(docs: DataFrame) -> tuple[DataFrame, bytes]:
     ic = F.log(F.lit(float(n)) / F.col("n_e"))
     pmi = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     share = F.when(ic > 0, pmi / ic).otherwise(0.0)
-    scored = pairs.join(document_counts(docs, bits), "term").join(entities, "entity").withColumn("share", share).where(F.col("share") >= GENERALISE)
+    scored = pairs.join(document_counts(docs, bits), "term").withColumn("share", share).where(F.col("share") >= GENERALISE)
     strongest = F.max(F.struct("share", "entity")).alias("top")
     terms = materialise(scored.groupBy("term").agg(strongest).select("term", F.split("top.entity", ":")[0].alias("kind"), "top.share"), "terms")
     return terms, term_filter(terms)
 
 
-_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, hits array<struct<term:string,start:long,end:long>>"
+_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, hits array<struct<term:string,start:long,end:long>>, text string"
+_HITS = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def find(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """A row per document: counts and digest of base spans, ``base`` (joined), and ``terms``, an
-    array of (start, end, kind, share) for the disclosing terms that don't overlap base spans."""
+def find(docs: DataFrame) -> DataFrame:
+    """A row per document: counts and digest of base spans, ``base`` (joined), ``terms``, an array of
+    (start, end, kind, share) for the disclosing terms that don't overlap base spans, and the text."""
     terms, bits = disclosing_terms(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,23 +209,22 @@ def find(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 n = Counter(k for k, _, _ in found)
                 hits = []
                 if passes and any(map(passes, set(_WORD.findall(text)))):
-                    for m in _WORD.finditer(text):
-                        if (t := passes(m[0])) and not spans.overlaps(found, *m.span()):
-                            hits.append({"term": t, "start": m.start(), "end": m.end()})
-                rows.append((doc_id, *(n[k] for k in spans.PII_KINDS), spans.digest(found), spans.joined(found), hits, *([text] if keep_text else [])))
-            names = ["doc_id", *(f"n_{k}" for k in spans.PII_KINDS), "base_sha256", "base", "hits", *(["text"] if keep_text else [])]
-            kinds = [*[pa.int64()] * 5, pa.string(), pa.string(), pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names)
-
-    found = texts(docs).mapInArrow(run, _FOUND + (", text string" if keep_text else ""))
+                    hits = [{"term": t, "start": m.start(), "end": m.end()} for m in spans.outside(_WORD, text, found) if (t := passes(m[0]))]
+                rows.append((doc_id, *(n[k] for k in spans.PII_KINDS), spans.digest(found), spans.joined(found), hits))
+            names = ["doc_id", *(f"n_{k}" for k in spans.PII_KINDS), "base_sha256", "base", "hits"]
+            kinds = [*[pa.int64()] * 5, pa.string(), pa.string(), _HITS]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), b.column("text")], [*names, "text"])
+
+    found = texts(docs).mapInArrow(run, _FOUND)
     empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint,kind:string,share:double>>)")
     if not bits:
         return found.withColumn("terms", empty).drop("hits")
-    found = materialise(found.withColumn("row", F.monotonically_increasing_id()), "spans")
-    hits = found.select("row", F.explode("hits").alias("hit")).select("row", "hit.*").join(terms, "term")
-    sure = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "share"))).alias("terms"))
-    some = found.where(F.size("hits") > 0).join(sure, "row", "left").withColumn("terms", F.coalesce("terms", empty))
-    return found.where(F.size("hits") == 0).withColumn("terms", empty).unionByName(some).drop("row", "hits")
+    # rows without hits go straight on; the others are few, and are written with their texts
+    hit = materialise(found.where(F.size("hits") > 0).withColumn("row", F.monotonically_increasing_id()), "hits")
+    sure = hit.select("row", F.explode("hits").alias("hit")).select("row", "hit.*").join(terms, "term")
+    sure = sure.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "share"))).alias("terms"))  # of one text
+    some = hit.join(sure, "row", "left").withColumn("terms", F.coalesce("terms", empty))
+    return found.where(F.size("hits") == 0).withColumn("terms", empty).unionByName(some.drop("row")).drop("hits")
 
 
 def span_list(base: str, terms: str) -> F.Column:
@@ -210,22 +235,40 @@ def span_list(base: str, terms: str) -> F.Column:
     return F.array_join(F.transform(F.array_sort(F.concat(own, more)), lambda s: s["s"]), ",")
 
 
+def cleaned(text: str, base: str, terms: list[dict]) -> str:
+    """The text with base spans replaced by their kind, and terms by the kind that they disclose or,
+    from REMOVE on, by nothing."""
+    own = [(f"[{k}]", int(a), int(z)) for k, a, z in (s.split(":") for s in base.split(",") if s)]
+    own += [("" if t["share"] >= REMOVE else f"[near {t['kind']}]", t["start"], t["end"]) for t in terms]
+    return spans.replaced(text, own) if own else text
+
+
+def _cleaned(b: pa.RecordBatch) -> list[str]:
+    return [cleaned(*r) for r in zip(*(b.column(c).to_pylist() for c in ("text", "base", "terms")), strict=True)]
+
+
 def report(docs: DataFrame) -> DataFrame:
+    """The contract's columns; also how many terms are generalised and removed, and the sanitised
+    text's SHA-256."""
     spans_ = F.when(F.size("terms") == 0, F.col("base")).otherwise(span_list("base", "terms"))
-    return find(docs).select("doc_id", *(f"n_{k}" for k in spans.PII_KINDS), "base_sha256", spans_.alias("spans"))
+    removed = F.size(F.filter("terms", lambda t: t["share"] >= REMOVE)).cast("long")
+    kept = ["doc_id", *(f"n_{k}" for k in spans.PII_KINDS), "base_sha256", "spans", "n_generalised", "n_removed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            digests = [hashlib.sha256(t.encode()).hexdigest() for t in _cleaned(b)]
+            yield pa.RecordBatch.from_arrays([*map(b.column, kept), pa.array(digests, pa.string())], [*kept, "sanitised_sha256"])
+
+    rows = find(docs).withColumns({"spans": spans_, "n_removed": removed, "n_generalised": F.size("terms").cast("long") - removed})
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_generalised long, n_removed long, sanitised_sha256 string"
+    return rows.select(*kept, "text", "base", "terms").mapInArrow(run, schema)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """doc_id, text: base spans replaced by their kind, terms generalised to the kind that they
-    disclose or, from REMOVE on, removed."""
+    """doc_id, text: the sanitised texts (see cleaned)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            out = []
-            for text, base, terms in zip(b.column("text").to_pylist(), b.column("base").to_pylist(), b.column("terms").to_pylist(), strict=True):
-                own = [(f"[{k}]", int(a), int(z)) for k, a, z in (s.split(":") for s in base.split(",") if s)]
-                own += [("" if t["share"] >= REMOVE else f"[near {t['kind']}]", t["start"], t["end"]) for t in terms]
-                out.append(spans.replaced(text, own))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
-
-    return find(docs, keep_text=True).select("doc_id", "text", "base", "terms").mapInArrow(run, "doc_id long, text string")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_cleaned(b), pa.string())], ["doc_id", "text"])
+
+    return find(docs).select("doc_id", "text", "base", "terms").mapInArrow(run, "doc_id long, text string")

@@ -146,7 +146,7 @@ def models(docs: DataFrame) -> Models:
                 found = spans.secrets(text)
                 for _, a, z in found:
                     values[1].extend(_RUN.findall(text[a:z]))
-                words = [m[0] for m in _WORD.finditer(text) if not spans.overlaps(found, *m.span())] if found else _WORD.findall(text)
+                words = [m[0] for m in spans.outside(_WORD, text, found)] if found else _WORD.findall(text)
                 values[0].extend(identifiers(words, xxhash.xxh32_intdigest(text.encode())))
                 if len(values[0]) >= 1 << 12:
                     n[0] += counted(values[0])
@@ -166,7 +166,7 @@ def models(docs: DataFrame) -> Models:
 
 
 def random_runs(text: str, base: list[spans.Span], trained: Models) -> list[spans.Span]:
-    return [("random", *m.span()) for m in _RUN.finditer(text) if not spans.overlaps(base, *m.span()) and trained.is_random(m[0])]
+    return [("random", *m.span()) for m in spans.outside(_RUN, text, base) if trained.is_random(m[0])]
 
 
 KINDS = (*spans.SECRET_KINDS, "random")

@@ -6,9 +6,11 @@ match that fails its test is dropped without another try at the same characters.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import string
+from collections.abc import Iterator
 
 Span = tuple[str, int, int]
 
@@ -103,8 +105,28 @@ def digest(spans: list[Span]) -> str:
     return hashlib.sha256(joined(spans).encode()).hexdigest()
 
 
-def overlaps(spans: list[Span], start: int, end: int) -> bool:
-    return any(a < end and start < b for _, a, b in spans)
+class Cover:
+    """The union of spans, to ask in logarithmic time whether a stretch of text meets it."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda s: s[1]):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, start: int, end: int) -> bool:
+        last = bisect.bisect_left(self.starts, end) - 1
+        return last >= 0 and self.ends[last] > start
+
+
+def outside(pattern: re.Pattern, text: str, spans: list[Span]) -> Iterator[re.Match]:
+    """The pattern's matches in the text that meet none of the spans."""
+    meets = Cover(spans).meets
+    return (m for m in pattern.finditer(text) if not meets(*m.span()))
 
 
 def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import string
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +57,17 @@ def test_report_and_redact(spark):
     assert ms.report(docs.where(F.lit(False))).count() == 0
 
 
+def test_a_text_of_secrets_takes_linear_time(trained):
+    took = []
+    for n in (2_000, 16_000):
+        text = " ".join(f"token=abcdefgh{i} Zx9q7Rt2LmZx94Kd{i:04d}" for i in range(n))
+        began = time.process_time()
+        base = spans.secrets(text)
+        assert len(base) == n and len(ms.random_runs(text, base, trained)) > 0.9 * n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.5
+
+
 def test_every_document_is_counted(spark):
     """More documents than any fixed sample: the models are those of plain Python over all of them."""
     rows = [(i, " ".join(random.Random(i).choices(WORDS, k=6))) for i in range(2600)]
@@ -64,7 +76,7 @@ def test_every_document_is_counted(spark):
     for _, text in rows:
         found = spans.secrets(text or "")
         samples += [(v, 1) for _, a, z in found for v in ms._RUN.findall(text[a:z])]
-        words = [m[0] for m in ms._WORD.finditer(text or "") if not spans.overlaps(found, *m.span())]
+        words = [m[0] for m in ms._WORD.finditer(text or "") if not any(a < m.end() and m.start() < z for _, a, z in found)]
         samples += [(s, 0) for s in ms.identifiers(words, ms.xxhash.xxh32_intdigest((text or "").encode()))]
     got = ms.models(spark.createDataFrame(rows, "doc_id long, text string"))
     assert (got.ratio == ms.train(samples).ratio).all()

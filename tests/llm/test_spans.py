@@ -48,6 +48,13 @@ def test_long_runs_take_linear_time():
     assert time.process_time() - t < 10
 
 
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 9)), max_size=8), st.integers(0, 45), st.integers(1, 9))
+@settings(max_examples=500, deadline=None)
+def test_cover(some, start, size):
+    found = [("x", a, a + n) for a, n in some]
+    assert spans.Cover(found).meets(start, start + size) == any(a < start + size and start < b for _, a, b in found)
+
+
 def test_replaced():
     assert spans.replaced("abcdef", [("X", 1, 3), ("Y", 2, 4), ("Z", 5, 6)]) == "aXeZ"
     assert spans.replaced("abc", []) == "abc"
