@@ -1,13 +1,19 @@
-"""Token ids of whole texts by the tokenizers library, one white-space chunk at a time.
+"""Token ids of whole texts by the tokenizers library, one word at a time and many words a call.
 
 The vocabulary file normalises (NFC, runs of white space to one space, lower case) and splits
 so that white space ends every piece and is dropped. So a text's ids are the ids of its chunks
 between white space, one after another, and a chunk that was seen before needs no second
-encoding. The memo is bounded: when full it becomes the old one, from which chunks still in use
-move to the next, so that frequent chunks stay and rare ones go.
+encoding. Arrow splits the texts and finds the different chunks; in Latin-1, where lower case is
+letter by letter and NFC changes nothing, these are put in lower case and the marks behind a word
+are cut off, as letters and marks never share a piece. What is left are *words*, whose ids a memo
+remembers; new ones go to the library, plain words many in one text (each ends with a token that
+ends a word, so the ids fall apart again), others one by one.
 
-Texts with U+001C to U+001F (white space to Python, not to the file's pattern) go to the
-library whole. Strings of special tokens in a text are ordinary text (as the vocabulary folder's
+The memo is Arrow and NumPy arrays, bounded in bytes: when full, only the words of the last texts
+stay, so that frequent words stay and rare ones go.
+
+Texts with U+001C to U+001F (white space to Arrow, not to the file's pattern) go to the library
+whole. Strings of special tokens in a text are ordinary text (as the vocabulary folder's
 notes advise), so a document can't smuggle in an end id; strings of other added tokens, which the
 library cuts out first, send a text to the library whole.
 """
@@ -15,19 +21,22 @@ library cuts out first, send a text to the library whole.
 from __future__ import annotations
 
 import functools
-import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks in the memo (the last texts may exceed it) and the longest chunk (code points) in it.
-MEMO_CHUNKS, MEMO_CHARS = 450_000, 48
-#: Marks behind a word that form a piece of their own (no apostrophe: the pattern has contractions).
-MARKS = ".,!$%&*#|;:?"
+#: Bytes of words and ids in the memo (the last texts may exceed it); the longest word (bytes) in it.
+MEMO_BYTES, MEMO_WORD = 24 << 20, 64
+#: Words in one text to the library.
+JOINED = 64
 END_ID = 2
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "[\x1c-\x1f]"
+_LATIN = r"^[\x{00}-\x{ff}]*$"
+_PLAIN = r"^[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+$"
+#: Marks that may be cut off behind a letter or number (no apostrophe: the file's pattern has contractions).
+MARKS = ".,!$%&*#|;:?"
+_CUT = r"[\pL\pN]$"
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -36,6 +45,43 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The values of the given runs, one run after another."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _behind(whole: pa.Array, heads: pa.Array) -> pa.Array:
+    """What follows each head in its string."""
+    whole = pa.concat_arrays([whole])
+    sizes = np.asarray(pc.binary_length(heads), np.int64)
+    ends = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset :][: len(whole) + 1].astype(np.int64)
+    rest = np.diff(ends) - sizes
+    data = np.frombuffer(whole.buffers()[2], np.uint8) if whole.buffers()[2] else np.empty(0, np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(rest)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(whole), pa.py_buffer(offsets.tobytes()), pa.py_buffer(gathered(data, ends[:-1] + sizes, rest).tobytes()))
+
+
+class Encoded:
+    """Texts as runs of chunks: ids() are all ids, each text's followed by END_ID."""
+
+    def __init__(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray, bounds: np.ndarray):
+        """Chunk k has the ids flat[starts[k]:][:sizes[k]]; text i has the chunks at[bounds[i]:bounds[i + 1]]."""
+        self.flat, self.starts, self.sizes, self.at, self.bounds = flat, starts, sizes, at, bounds
+        lengths = np.concatenate([[0], np.cumsum(sizes[at])])
+        self.offsets = lengths[bounds]
+
+    def ids(self) -> np.ndarray:
+        return gathered(self.flat, self.starts[self.at], self.sizes[self.at])
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """For each text the sum of values[id] (whole numbers) over its ids; summed once a chunk."""
+        upto = np.concatenate([[0], np.cumsum(values[self.flat], dtype=np.int64)])
+        each = upto[self.starts + self.sizes] - upto[self.starts]
+        total = np.concatenate([[0], np.cumsum(each[self.at])])
+        return np.diff(total[self.bounds])
+
+
 class ChunkTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -44,8 +90,14 @@ class ChunkTokenizer:
         self.vocabulary_size = self.library.get_vocab_size(with_added_tokens=True)
         self.library.encode_special_tokens = True
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values() if not t.special]
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.ends_word = np.zeros(self.vocabulary_size, bool)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            self.ends_word[i] = token.endswith("</w>")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.flat, self.offsets = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -55,79 +107,101 @@ class ChunkTokenizer:
         return self.encode_all(pa.array([text], pa.string()))[0][:-1].tobytes()
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, each text's followed by END_ID, and where each text's begin and end.
+        """All ids of the texts, each text's followed by END_ID, and where each text's begin and end."""
+        found = self.chunks(texts)
+        return found.ids(), found.offsets
 
-        Arrow splits the texts and finds the different chunks; Python sees only those, and NumPy
-        puts their ids where the chunks stood.
-        """
-        odd = pc.match_substring_regex(texts, _ODD.pattern)
+    def chunks(self, texts: pa.Array) -> Encoded:
+        odd = pc.match_substring_regex(texts, _ODD)
         for a in self.added:
             odd = pc.or_(odd, pc.match_substring(texts, a))
         if pc.any(odd).as_py():
-            own = [np.append(self._one(t), np.uint32(END_ID)) for t in texts.to_pylist()]
-            return np.concatenate(own).astype(np.uint32), np.cumsum([0, *map(len, own)])
+            alone = [np.frombuffer(self.whole(t), np.uint32) for t in texts.filter(odd).to_pylist()]
+            return self._split(pc.if_else(odd, "", texts), np.flatnonzero(odd.to_numpy(zero_copy_only=False)), alone)
+        return self._split(texts, np.empty(0, np.int64), [])
+
+    def _split(self, texts: pa.Array, odd: np.ndarray, alone: list[np.ndarray]) -> Encoded:
+        """The texts' chunks; the odd ones, empty here, have their ids in ``alone``, one chunk each."""
         split = pc.utf8_split_whitespace(texts)
         chunks = split.flatten().dictionary_encode()
-        ids = self._known(chunks.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        at = chunks.indices.to_numpy(zero_copy_only=False)
-        lengths = sizes[at]
-        ends = np.cumsum(lengths)
-        firsts = np.cumsum(sizes) - sizes
-        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
-        stops = np.concatenate([[0], ends])[bounds]
-        plain = flat[np.repeat(firsts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        offsets = stops + np.arange(len(stops))
-        out = np.full(len(plain) + len(texts), END_ID, np.uint32)
-        keep = np.ones(len(out), bool)
-        keep[offsets[1:] - 1] = False
-        out[keep] = plain
-        return out, offsets
-
-    def _one(self, text: str) -> np.ndarray:
-        if _ODD.search(text) or any(a in text for a in self.added):
-            return np.frombuffer(self.whole(text), np.uint32)
-        return np.frombuffer(b"".join(self._known(text.split())), np.uint32)
-
-    def _known(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk; what none of the memos has goes to the library at once."""
-        memo, wanted = self.memo, {}
-        for c in set(chunks).difference(memo):
-            self._want(c, wanted)
-        new = [c for c, parts in wanted.items() if parts is None]
-        for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[c] = array("I", e.ids).tobytes()
-        for c, parts in wanted.items():
-            if parts is not None:
-                memo[c] = memo[parts[0]] + (memo[parts[1]] if parts[1] else b"")
-        out = list(map(memo.__getitem__, chunks))
-        for c in new:
-            if len(c) > MEMO_CHARS:
-                del memo[c]
-        if len(memo) >= MEMO_CHUNKS:
-            self.old, self.memo = memo, {}
+        flat, starts, sizes = self._table(chunks.dictionary)
+        # the end id and the whole texts are chunks behind those of the table
+        more = np.array([1, *map(len, alone)], np.int64)
+        starts = np.concatenate([starts, len(flat) + np.cumsum(more) - more])
+        flat, end = np.concatenate([flat, np.array([END_ID], np.uint32), *alone]), len(sizes)
+        sizes = np.concatenate([sizes, more])
+        bounds = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        places, put = bounds[1:], np.full(len(texts), end, np.int32)
+        if len(odd):
+            places, put = np.concatenate([bounds[1:][odd], places]), np.concatenate([np.arange(end + 1, end + 1 + len(odd), dtype=np.int32), put])
+        at = np.insert(chunks.indices.to_numpy(zero_copy_only=False), places, put)
+        own = np.ones(len(texts), np.int64)
+        own[odd] += 1
+        return Encoded(flat, starts, sizes, at, bounds + np.concatenate([[0], np.cumsum(own)]))
+
+    def _table(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of different chunks: all ids, and where each chunk's begin and how many there are."""
+        if not len(chunks):
+            return np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        latin = pc.match_substring_regex(chunks, _LATIN)
+        low = pc.if_else(latin, pc.utf8_lower(chunks), chunks)
+        bare = pc.ascii_rtrim(low, characters=MARKS)
+        words = pc.if_else(pc.and_(latin, pc.match_substring_regex(bare, _CUT)), bare, low)
+        both = pa.concat_arrays([words, _behind(low, words)]).dictionary_encode()
+        entry = self._known(both.dictionary)
+        first, last = np.split(entry[both.indices.to_numpy(zero_copy_only=False)], 2)
+        starts, ends = self.offsets[:-1], self.offsets[1:]
+        pair = np.stack([first, last], axis=1).ravel()
+        lengths = (ends - starts)[pair]
+        flat = gathered(self.flat, starts[pair], lengths)
+        sizes = lengths[::2] + lengths[1::2]
+        self._trim(entry)
+        return flat, np.cumsum(sizes) - sizes, sizes
+
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """The place of each word in the memo, which takes up the new ones."""
+        at = pc.index_in(words, value_set=self.words)
+        fresh = pc.is_null(at)
+        out = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = words.filter(fresh)
+        if len(new):
+            plain = pc.match_substring_regex(new, _PLAIN)
+            groups = [new.filter(plain), new.filter(pc.invert(plain))]
+            ids, sizes = zip(*(f(g.to_pylist()) for f, g in zip((self._plain, self._single), groups, strict=True)), strict=True)
+            is_plain = plain.to_numpy(zero_copy_only=False)
+            place = np.where(is_plain, np.cumsum(is_plain) - 1, len(groups[0]) + np.cumsum(~is_plain) - 1)
+            out[fresh.to_numpy(zero_copy_only=False)] = len(self.words) + place
+            self.words = pa.concat_arrays([self.words, *groups])
+            self.flat = np.concatenate([self.flat, *ids])
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.concatenate(sizes))])
         return out
 
-    def _want(self, c: str, wanted: dict[str, tuple[str, str] | None]) -> None:
-        """Notes what c needs: nothing, the library (None), or its parts, a lower-case word and the
-        marks behind it. Letters and marks never share a piece, and in Latin-1 lower case is letter
-        by letter and NFC changes nothing."""
-        if c in self.memo or c in wanted:
-            return
-        if c in self.old:
-            self.memo[c] = self.old[c]
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for each word of small Latin letters."""
+        lines = [" ".join(words[a : a + JOINED]) for a in range(0, len(words), JOINED)]
+        found = self.library.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in found)])
+        stops = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(stops) != len(words):
+            return self._single(words)
+        return ids, np.diff(stops, prepend=0)
+
+    def _single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _trim(self, used: np.ndarray) -> None:
+        """Past its bound the memo keeps the words that were just used, long ones left out."""
+        if self.words.nbytes + self.flat.nbytes + self.offsets.nbytes <= MEMO_BYTES:
             return
-        word = c.rstrip(MARKS)
-        if len(c) <= MEMO_CHARS and word.isalpha() and (word.isascii() or max(word) < "\u0100"):
-            low, marks = word.lower(), c[len(word) :]
-            if low != c:
-                self._want(low, wanted)
-                if marks:
-                    self._want(marks, wanted)
-                wanted[c] = (low, marks)
-                return
-        wanted[c] = None
+        some = np.unique(used)
+        words = self.words.take(pa.array(some))
+        short = pc.less_equal(pc.binary_length(words), MEMO_WORD).to_numpy(zero_copy_only=False)
+        some, words = some[short], words.filter(pa.array(short))
+        starts, sizes = self.offsets[some], np.diff(self.offsets)[some]
+        self.words, self.flat, self.offsets = words, gathered(self.flat, starts, sizes), np.concatenate([[0], np.cumsum(sizes)])
+        if self.words.nbytes + self.flat.nbytes + self.offsets.nbytes > MEMO_BYTES // 2:
+            self._forget()
 
 
 @functools.cache

@@ -2,12 +2,15 @@
 
 1. A document's tokens are hashed into a sparse vector; each token's hash also gives its fixed
    random direction in ``DIMENSIONS`` dimensions (a projection of the hashed vector), so the
-   projected vector is the mean of its tokens' directions.
-2. Each coordinate is scaled by the square root of the length (a mean of n directions shrinks so),
-   squashed and cut into 2^ORDER cells; the Hilbert curve through the cells gives the key.
-3. Documents are sorted by range of the key (ties by a hash of the id, so that a mass of equal
+   projected vector is the sum of its tokens' directions. Directions are whole numbers and are summed
+   once for each different chunk of text, so sums are exact however texts are batched.
+2. The projected vector is brought to length one, so that long documents spread like short ones, and
+   each coordinate is cut into 2^ORDER cells; the Hilbert curve through the cells gives the key.
+3. Documents are sorted by range of the key (ties by a hash of id and row, so that a mass of equal
    documents, which have equal keys, spreads over ranges) and packed in that order: neighbours on
-   the curve, so documents of like vocabulary, share sequences.
+   the curve, so documents of like vocabulary, share sequences. Ranges hold about equally many
+   *tokens*, not rows: their bounds come from a sample of keys and lengths (``SAMPLED`` rows a range),
+   which affects balance only. There is a range for every RANGE_TOKENS tokens at least.
 4. A range is one stream of ids, cut every ``capacity`` ids. Its rest is cut into powers of two,
    largest first, which need no padding: no id is dropped and nothing is padded.
 
@@ -15,12 +18,14 @@ Sequence ids are range * 2^32 + number within the range. Token ids are written o
 folder, then moved once by key.
 
 Edge cases: a null text is empty and still has its end id; repeated rows are packed each; null
-doc_ids are packed too. Texts longer than a sequence are cut. An empty table gives no rows.
+doc_ids are packed too. Texts longer than a sequence are cut; a text of any length is read whole. Other
+columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -38,6 +43,7 @@ from cladeforge.llm.common import materialise, partitions, slices, text_slices,
 CAPACITY = 4096
 DIMENSIONS, ORDER = 4, 10
 TIE_BITS = 20
+RANGE_TOKENS, SAMPLED = 1 << 25, 100
 
 
 def hilbert_key(cells: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -72,24 +78,16 @@ def hilbert_key(cells: np.ndarray, order: int = ORDER) -> np.ndarray:
 
 
 @functools.cache
-def directions(size: int, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """A fixed direction for each token id, from its hash."""
-    out = np.empty((size, dimensions), np.float32)
-    for i in range(size):
-        h = xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 7)
-        for k in range(dimensions):
-            out[i, k] = ((h >> 16 * k & 0xFFFF) + 0.5) / 32768 - 1
-    return out
-
-
-def cells(ids: np.ndarray, offsets: np.ndarray, size: int, some: int = 64) -> np.ndarray:
-    """The cell of each document, whose ids lie between its offsets; ``some`` documents at a time."""
-    sums = [np.empty((0, DIMENSIONS))]
-    for at in range(0, len(offsets) - 1, some):
-        own = offsets[at : at + some + 1]
-        sums.append(np.add.reduceat(directions(size)[ids[own[0] : own[-1]]], own[:-1] - own[0], dtype=np.float64))
-    where = np.concatenate(sums) / np.sqrt(np.diff(offsets))[:, None]
-    return np.minimum((0.5 + 0.5 * np.tanh(where / 4)) * (1 << ORDER), (1 << ORDER) - 1).astype(np.uint32)
+def directions(size: int, dimensions: int = DIMENSIONS) -> list[np.ndarray]:
+    """A fixed direction for each token id, from its hash: odd numbers within 2^16 of zero, by dimension."""
+    h = np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 7) for i in range(size)], np.uint64)
+    return [2 * (h >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype(np.int64) - 0xFFFF for k in range(dimensions)]
+
+
+def cells(sums: np.ndarray) -> np.ndarray:
+    """The cell of each projected vector, the rows of sums."""
+    where = sums / np.maximum(1.0, np.sqrt((sums * sums.astype(np.float64)).sum(axis=1, keepdims=True)))
+    return np.minimum((0.5 + 0.5 * where) * (1 << ORDER), (1 << ORDER) - 1).astype(np.uint32)
 
 
 def powers(rest: int) -> list[int]:
@@ -138,21 +136,50 @@ def stored(vocabulary_size: int) -> str:
 
 
 def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, curve (the key with ties broken), ids (binary, u16 or u32 as the vocabulary needs)."""
+    """doc_id, curve (the key with ties broken), n, ids (binary, u16 or u32 as the vocabulary needs)."""
     vocabulary = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(vocabulary)
         size = tok.vocabulary_size
-        for b in text_slices(batches):
-            ids, offsets = tok.encode_all(b.column("text"))
-            keys = hilbert_key(cells(ids, offsets, size))
-            data = pa.array(map(bytes, np.split(ids.astype(stored(size)), offsets[1:-1])), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys), data], ["doc_id", "key", "ids"])
-
-    found = texts(docs).mapInArrow(run, "doc_id long, key long, ids binary")
-    tie = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << TIE_BITS) - 1))
-    return found.select("doc_id", (F.shiftleft("key", TIE_BITS) + tie).alias("curve"), "ids")
+        for b in text_slices(batches, 1 << 22):
+            found = tok.chunks(b.column("text"))
+            keys = hilbert_key(cells(np.stack([found.sums(d) for d in directions(size)], axis=1)))
+            ids = found.ids().astype(stored(size))
+            ends = (found.offsets * ids.itemsize).astype(np.int32)  # a slice's ids stay far below 2^31 bytes
+            data = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys), pa.array(np.diff(found.offsets)), data], ["doc_id", "key", "n", "ids"])
+
+    found = texts(docs).mapInArrow(run, "doc_id long, key long, n long, ids binary")
+    tie = F.xxhash64("doc_id", F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << TIE_BITS) - 1))
+    return found.select("doc_id", (F.shiftleft("key", TIE_BITS) + tie).alias("curve"), "n", "ids")
+
+
+def bounds(found: DataFrame, least: int) -> list[int]:
+    """The first keys of all ranges but the first, such that ranges hold about equally many tokens."""
+    rows, tokens = found.agg(F.count("*"), F.sum("n")).first()
+    ranges = max(least, -(-(tokens or 0) // RANGE_TOKENS))
+    wanted = SAMPLED * ranges
+    some = found.select("curve", "n")
+    if rows > wanted:
+        some = some.sample(wanted / rows, 3)
+    some = some.toArrow()  # about ``wanted`` rows of two numbers
+    key, n = (some.column(c).to_numpy() for c in ("curve", "n"))
+    order = np.argsort(key, kind="stable")
+    before = np.cumsum(n[order]) - n[order]
+    at = np.searchsorted(before, before[-1] * np.arange(1, ranges) / ranges) if len(key) else []
+    return sorted({int(k) for k in key[order][at]})
+
+
+def place(key: str, at: list[int]) -> F.Column:
+    """How many of the ascending bounds are at most the key: looked up by steps, then within a step."""
+    if not at:
+        return F.lit(0)
+    step = math.isqrt(len(at)) + 1
+    array = lambda values: F.from_json(F.lit(str(list(values))), "array<bigint>")
+    upto = lambda some: F.size(F.filter(some, lambda b: b <= F.col(key)))
+    whole = upto(array(at[step - 1 :: step])) * step
+    return whole + upto(F.slice(array(at), whole + 1, step))
 
 
 _COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -179,5 +206,6 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
             yield rows(pieces)
 
     ids = materialise(encoded(docs, vocabulary), "encoded")
-    ordered = ids.repartitionByRange(partitions(docs.sparkSession), "curve").sortWithinPartitions("curve", "doc_id", "ids")
+    at = bounds(ids, partitions(docs.sparkSession))
+    ordered = ids.withColumn("range", place("curve", at)).repartitionById(len(at) + 1, F.col("range").cast("int")).sortWithinPartitions("curve", "doc_id", "ids")
     return ordered.select("doc_id", "ids").mapInArrow(run, _PIECE + (", ids binary" if keep_ids else ""))

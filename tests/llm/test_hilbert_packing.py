@@ -56,3 +56,21 @@ def test_like_documents_are_neighbours(spark):
     for r in got:
         kinds[r.sequence_id].add(r.doc_id % 2)
     assert sum(len(k) == 1 for k in kinds.values()) > 0.7 * len(kinds)
+
+
+def test_place_counts_bounds(spark):
+    for n in (0, 1, 2, 9, 50):
+        at = sorted({7 * i % 101 for i in range(n)})
+        got = spark.range(110).select("id", hp.place("id", at).alias("p")).collect()
+        assert all(r.p == sum(b <= r.id for b in at) for r in got)
+
+
+def test_ranges_hold_equally_many_tokens(spark):
+    """A third of the tokens are in a few long texts of like words, a third in equal short texts."""
+    rows = [(i, "same words again " * 40) for i in range(400)] + [(1000 + i, f"long text {i} of like words " * 400) for i in range(25)]
+    rows += [(2000 + i, " ".join(f"w{j * i % 977}" for j in range(60))) for i in range(200)] + [(None, "no id " * 30)] * 50
+    ids = hp.encoded(spark.createDataFrame(rows, "doc_id long, text string"))
+    ids.cache()
+    at = hp.bounds(ids, 8)
+    sizes = [r.t for r in ids.groupBy(hp.place("curve", at).alias("p")).agg({"n": "sum"}).toDF("p", "t").collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.5 * sum(sizes) / 8

@@ -27,12 +27,25 @@ def test_many_texts(many):
 
 
 def test_memo_is_bounded(monkeypatch):
-    monkeypatch.setattr(chunk_tokens, "MEMO_CHUNKS", 5)
+    monkeypatch.setattr(chunk_tokens, "MEMO_BYTES", 400)
     tok = chunk_tokens.ChunkTokenizer(chunk_tokens.vocabulary_path())
+    kept = 0
     for i in range(20):
-        text = " ".join(f"w{j}" for j in range(i, i + 4))
+        text = " ".join(f"w{j}" for j in range(i, i + 4)) + " plain words, of letters."
         assert tok.encode(text) == tok.whole(text)
-        assert len(tok.memo) < 5 and len(tok.old) < 5 + 4
+        assert tok.words.nbytes + tok.flat.nbytes + tok.offsets.nbytes <= 400
+        kept += len(tok.words) > 0
+    assert kept
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from("ab \n\x1cÉ.!"), max_size=12), max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_sums_by_text(many):
+    tok = chunk_tokens.tokenizer(chunk_tokens.vocabulary_path())
+    value = np.arange(tok.vocabulary_size) * 7 % 11 - 5
+    found = tok.chunks(pa.array(many, pa.string()))
+    ids, at = found.ids(), found.offsets
+    assert found.sums(value).tolist() == [value[ids[a:z]].sum() for a, z in zip(at, at[1:])]
 
 
 @pytest.mark.parametrize("bits", [1, 7, 13, 16, 17, 32])
@@ -41,10 +54,11 @@ def test_round_trip_and_random_access(tmp_path, bits):
     docs = [rng.integers(0, 2**bits, n, np.uint32) for n in (0, 1, 5, 300, 0, 77)]
     w = packed_ids.Writer(bits, block=32)
     for a, z in ((0, 2), (2, 3), (3, 6)):
-        w.add([i if i else None for i in range(a, z)], np.cumsum([0, *map(len, docs[a:z])]), np.concatenate(docs[a:z]))
+        w.add([i - (1 << 63) if i else None for i in range(a, z)], np.cumsum([0, *map(len, docs[a:z])]), np.concatenate(docs[a:z]))
     w.save(f"file://{tmp_path}/a.ids")
     r = packed_ids.Reader(packed_ids.read_file(f"file://{tmp_path}/a.ids"))
     assert all((r.document(k) == d).all() for k, d in enumerate(docs))
+    assert r.doc_ids == [None, *(i - (1 << 63) for i in range(1, 6))]
     flat = np.concatenate(docs)
     for a, n in ((0, 0), (3, 40), (31, 2), (64, 100), (382, 1)):
         assert (r.read(a, n) == flat[a : a + n]).all()
@@ -61,3 +75,17 @@ def test_report(spark):
         at += len(ids) // 4
     assert sorted(map(tuple, packed_ids.token_id_report(docs).collect())) == sorted(want)
     assert packed_ids.token_id_report(docs.where(F.lit(False))).count() == 0
+
+
+def test_files_of_bounded_size(spark, monkeypatch):
+    """A range goes on in another file; starts run on over files."""
+    rows = [(i, "many words here " * (i % 7)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = packed_ids.token_id_report(docs).orderBy("doc_id").collect()
+    write = packed_ids.write
+    monkeypatch.setattr(packed_ids, "FILE_IDS", 50)
+    monkeypatch.setattr(packed_ids, "text_slices", lambda batches, chars: (b.slice(a, 10) for b in batches for a in range(0, b.num_rows, 10)))
+    manifest = write(docs, packed_ids.fresh_path(spark, "small-files"))
+    assert manifest.count() > 8
+    got = packed_ids.read_back(packed_ids.located(manifest))
+    assert got.orderBy("doc_id").collect() == want
