@@ -3,18 +3,20 @@
 A file holds the documents of one range of doc_id, in order. Each id takes the fewest bits that
 the vocabulary needs. Layout, little-endian:
 
-    magic "CFIDS01\\0" | bits u32 | block u32 | documents u64 | ids u64
+    magic "CFIDS02\\0" | bits u32 | block u32 | documents u64 | ids u64 | nulls u64
     doc_ids i64[documents] | starts u64[documents + 1] | block offsets u64[blocks + 1] | payload
 
 ``starts`` counts ids within the file. Ids are packed in blocks of ``block`` ids; a block begins
 at a byte, its offset (from the payload's first byte) is stored, so any id is reached by one
-seek, and a block is unpacked by a few numpy operations. Files are listed, with the ids before
-each of them, by the manifest that ``write`` returns; it comes from the tasks that succeeded,
-so leftovers of lost tasks are never read.
+seek, and a block is unpacked by a few numpy operations. A file is closed once it holds FILE_IDS
+ids (after the texts at hand), so what a task holds in memory doesn't grow with its range. Files are
+listed, with the ids before each of them, by the manifest that ``write`` returns; it comes from the
+tasks that succeeded, so leftovers of lost tasks are never read.
 
 Edge cases: a null text is an empty one (only the end id); repeated doc_ids keep one entry each;
-documents of equal doc_id lie in the order of their text; null doc_ids come first, and are read
-back as null. An empty table gives no files and no rows.
+documents of equal doc_id lie in the order of their text; null doc_ids come first (``nulls`` counts
+them) and are read back as null. A text of any length is one document. Other columns are ignored. An
+empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -33,9 +35,9 @@ from pyspark.sql import functions as F
 from cladeforge.llm.chunk_tokens import tokenizer, vocabulary_path
 from cladeforge.llm.common import fresh_path, materialise, open_output, partitions, read_file, text_slices, texts
 
-MAGIC, HEAD = b"CFIDS01\0", struct.Struct("<8sIIQQ")
+MAGIC, HEAD = b"CFIDS02\0", struct.Struct("<8sIIQQQ")
 BLOCK = 4096
-NO_ID = -(1 << 63)
+FILE_IDS = 1 << 23
 
 
 def width(vocabulary_size: int) -> int:
@@ -67,13 +69,13 @@ class Writer:
 
     def __init__(self, bits: int, block: int = BLOCK):
         self.bits, self.block = bits, block
-        self.doc_ids: list[int] = []
+        self.doc_ids: list[int | None] = []
         self.starts, self.offsets = [0], [0]
         self.payload, self.rest = bytearray(), np.empty(0, np.uint32)
 
     def add(self, doc_ids: list[int | None], offsets: np.ndarray, ids: np.ndarray) -> None:
-        """Documents and where in ids each one's begin and end."""
-        self.doc_ids += [NO_ID if d is None else d for d in doc_ids]
+        """Documents, those without an id first, and where in ids each one's begin and end."""
+        self.doc_ids += doc_ids
         self.starts += (offsets[1:] + self.starts[-1]).tolist()
         ids = np.concatenate([self.rest, ids]) if len(self.rest) else ids
         full = len(ids) // self.block * self.block
@@ -90,22 +92,23 @@ class Writer:
             self._put(self.rest)
             self.rest = self.rest[:0]
         with open_output(uri) as f:
-            f.write(HEAD.pack(MAGIC, self.bits, self.block, len(self.doc_ids), self.starts[-1]))
-            for values, kind in ((self.doc_ids, "<i8"), (self.starts, "<u8"), (self.offsets, "<u8")):
+            f.write(HEAD.pack(MAGIC, self.bits, self.block, len(self.doc_ids), self.starts[-1], self.doc_ids.count(None)))
+            for values, kind in (([d or 0 for d in self.doc_ids], "<i8"), (self.starts, "<u8"), (self.offsets, "<u8")):
                 f.write(np.array(values, kind).tobytes())
             f.write(bytes(self.payload))
 
 
 class Reader:
     def __init__(self, data: memoryview):
-        magic, self.bits, self.block, documents, self.ids = HEAD.unpack_from(data)
+        magic, self.bits, self.block, documents, self.ids, self.nulls = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token-id file")
         at, parts = HEAD.size, []
         for kind, n in (("<i8", documents), ("<u8", documents + 1), ("<u8", -(-self.ids // self.block) + 1)):
             parts.append(np.frombuffer(data, kind, n, at))
             at += 8 * n
-        self.doc_ids, self.starts, self.offsets = parts
+        ids, self.starts, self.offsets = parts
+        self.doc_ids: list[int | None] = [None] * self.nulls + ids[self.nulls :].tolist()
         self.payload = data[at:]
 
     def read(self, start: int, count: int) -> np.ndarray:
@@ -123,22 +126,28 @@ class Reader:
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str | None = None, block: int = BLOCK) -> DataFrame:
-    """Writes the files; a row per file: part (ascending with doc_id), path, documents, ids."""
+    """Writes the files; a row per file: part and number (ascending with doc_id), path, documents, ids."""
     vocabulary = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, out = tokenizer(vocabulary), None
-        for b in text_slices(batches):
+        tok, out, part, number = tokenizer(vocabulary), None, TaskContext.get().partitionId(), 0
+
+        def close(done: Writer) -> pa.RecordBatch:
+            done.save(path := f"{folder}/{part:06d}-{number:04d}-{uuid.uuid4().hex}.ids")
+            return pa.RecordBatch.from_pydict({"part": [part], "number": [number], "path": [path], "documents": [len(done.doc_ids)], "ids": [done.starts[-1]]})
+
+        for b in text_slices(batches, 1 << 22):
             out = out or Writer(width(tok.vocabulary_size), block)
             ids, offsets = tok.encode_all(b.column("text"))
             out.add(b.column("doc_id").to_pylist(), offsets, ids)
+            if out.starts[-1] >= FILE_IDS:
+                yield close(out)
+                out, number = None, number + 1
         if out:
-            part = TaskContext.get().partitionId()
-            out.save(path := f"{folder}/{part:06d}-{uuid.uuid4().hex}.ids")
-            yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "documents": [len(out.doc_ids)], "ids": [out.starts[-1]]})
+            yield close(out)
 
     ordered = texts(docs).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialise(ordered.mapInArrow(run, "part long, path string, documents long, ids long"), "manifest")
+    return materialise(ordered.mapInArrow(run, "part long, number long, path string, documents long, ids long"), "manifest")
 
 
 def located(manifest: DataFrame) -> DataFrame:
@@ -162,7 +171,7 @@ def read(files: DataFrame) -> DataFrame:
                 for at in range(0, len(f.doc_ids), 64):
                     some = range(at, min(at + 64, len(f.doc_ids)))
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array([None if (d := int(f.doc_ids[k])) == NO_ID else d for k in some], pa.int64()),
+                        "doc_id": pa.array([f.doc_ids[k] for k in some], pa.int64()),
                         "start": [first + int(f.starts[k]) for k in some],
                         "ids": pa.array([f.document(k).tobytes() for k in some], pa.binary()),
                     })
@@ -178,7 +187,7 @@ def read_back(files: DataFrame) -> DataFrame:
             for path, first in zip(b.column("path").to_pylist(), b.column("first_id").to_pylist(), strict=True):
                 f = Reader(read_file(path))
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array([None if d == NO_ID else d for d in f.doc_ids.tolist()], pa.int64()),
+                    "doc_id": pa.array(f.doc_ids, pa.int64()),
                     "start": pa.array(f.starts[:-1].astype(np.int64) + first),
                     "n_tokens": pa.array(np.diff(f.starts.astype(np.int64))),
                     "ids_crc32": pa.array([zlib.crc32(f.document(k)) for k in range(len(f.doc_ids))], pa.int64()),
