@@ -12,21 +12,27 @@ verb of saying), OTHER. Three transducers read them and are composed into one:
 A clause (up to . ! ? ; : or a line's end) is scored by the sum of its events' weights times the
 weight of the word that made each; a document by the logistic curve of the log of its clauses' sum.
 
-The lexicon has a few general English words, given below, and stems learned from labelled documents:
-whole words and prefixes of 4 to 6 letters that are met in toxic documents in EVIDENCE or more
-different surroundings (copies share theirs), by far more than chance (G2) and nearly only there
-(PRECISION). A prefix that one whole word accounts for (SPREAD) is left to that word. A stem's
-weight is its log-odds. The curve's two numbers are fitted on the same sample.
+The lexicon has a few general words of four languages, given below, and stems learned from labelled
+documents: whole words and prefixes of 4 to 6 letters that are met in toxic documents in EVIDENCE or
+more different surroundings (copies share theirs). What counts as more than chance depends on the
+sample: the log-likelihood ratio G2 must exceed twice the log of the number of stems tried, so that of
+stems without meaning less than one is expected to pass, at any sample size and for rare languages as
+for frequent ones. A stem that clean documents hold as well may pass, with a lower weight: a
+stem's weight is its smoothed log-odds, so one such word is little and several are much. A prefix that one
+whole word accounts for (SPREAD) is left to that word. The curve's two numbers are fitted on the same
+sample. A learned stem is an insult to the grammar; alone it makes an event too, a weaker one than in a
+clause with a target.
 
 Training sees at most SAMPLE labelled documents (smallest hash of the id, held-out fold left out)
 and the model has at most STEMS stems; scoring sees every whole text in one pass without a shuffle.
 
-Edge cases: a null text is empty; repeated rows give a row each; without toxic labels the English
+Edge cases: a null text is empty; repeated rows give a row each; without toxic labels the given
 words alone are used with a fixed curve; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -42,7 +48,7 @@ from cladeforge.llm import labelled
 from cladeforge.llm.common import slices, texts
 
 SAMPLE, STEMS = 24_000, 20_000
-EVIDENCE, G2, PRECISION, SPREAD = 6, 30.0, 0.9, 1.2
+EVIDENCE, ODDS, SPREAD = 3, 1.5, 1.2
 THRESHOLD = 0.3
 REACH = 3
 PREFIXES = (4, 5, 6)
@@ -50,11 +56,26 @@ MEMO_WORDS = 300_000
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = range(7)
 WORDS = {
-    INSULT: "idiot idiots moron morons imbecile dumbass scum scumbag loser losers pathetic worthless stupid disgusting vermin degenerate",
-    THREAT: "kill murder hurt strangle shoot stab destroy beat slaughter",
-    TARGET: "you your yours yourself u him her them he she they his their everyone people",
-    NEGATION: "not never no isn't aren't wasn't weren't don't doesn't didn't won't nobody neither nor",
-    REPORT: "said says called calls claimed wrote writes quoted reported alleged accused",
+    INSULT: """idiot idiots moron morons imbecile dumbass scum scumbag loser losers pathetic worthless stupid disgusting vermin degenerate
+        idioten trottel abschaum versager dummkopf widerling schwachkopf
+        imbécile crétin crétine abruti ordure minable débile dégoûtant connard
+        idiota imbécil estúpido estúpida escoria asqueroso patético""",
+    THREAT: """kill murder hurt strangle shoot stab destroy beat slaughter
+        töten umbringen erschießen erwürgen verprügeln
+        tuer égorger étrangler abattre frapper
+        matar asesinar estrangular degollar golpear""",
+    TARGET: """you your yours yourself u him her them he she they his their everyone people
+        du dich dir dein deine ihr euch sie ihn ihm ihnen alle leute
+        tu toi te vous ton ta tes votre vos il elle ils elles lui leur eux gens
+        tú ti usted ustedes vosotros él ella ellos ellas tus su sus gente""",
+    NEGATION: """not never no isn't aren't wasn't weren't don't doesn't didn't won't nobody neither nor
+        nicht nie niemals kein keine keinen niemand weder
+        ne pas jamais aucun aucune personne ni
+        nunca jamás ningún ninguna nadie tampoco""",
+    REPORT: """said says called calls claimed wrote writes quoted reported alleged accused
+        sagte sagt nannte behauptete schrieb schreibt zitierte berichtete
+        dit disait appelé appela affirmait écrit écrivait cité accusé
+        dijo dice llamó afirmó escribió escribe citó acusó""",
 }
 _FIXED = {w: kind for kind, words in WORDS.items() for w in words.split()}
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n]")
@@ -232,8 +253,10 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
     share = n_t / (n_t + n_c)
     g2 = 2 * (F.col("t") * F.log(F.col("t") / ((F.col("t") + F.col("c")) * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / ((F.col("t") + F.col("c")) * (1 - share)))).otherwise(0.0))
     odds = F.log(F.col("t") / n_t) - F.log((F.col("c") + 0.5) / n_c)
-    good = counts.where(f"stem <> '' and evidence >= {EVIDENCE} and t >= {PRECISION} * (t + c)").select("stem", "t", g2.alias("g2"), odds.alias("odds")).where(F.col("g2") >= G2)
-    rows = [r for r in good.orderBy(F.desc("g2"), "stem").limit(STEMS).collect() if r.odds > 0]
+    tried = counts.where(f"stem <> '' and evidence >= {EVIDENCE}").select("stem", "t", g2.alias("g2"), odds.alias("odds"))
+    least = 2 * math.log(max(2, tried.count()))
+    good = tried.where((F.col("g2") >= least) & (F.col("odds") >= ODDS))
+    rows = good.orderBy(F.desc("g2"), "stem").limit(STEMS).collect()
     most: dict[str, int] = {}  # of each prefix, the count of its most frequent whole word
     for r in rows:
         if r.stem.endswith(" "):
