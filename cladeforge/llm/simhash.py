@@ -10,8 +10,8 @@ How links are found without comparing all pairs:
    then of ``blocks`` bit blocks one holds a difference; without that block at most 2 bits
    differ, and the balls of radius 1 around both meet. Every fingerprint emits, for each block
    left out, all variants of the rest within 1 bit; a variant that two different fingerprints
-   emit marks both as having a possible partner. Only the smallest and largest fingerprint of
-   a variant are kept, so no group is ever gathered.
+   emit marks both as having a possible partner. Members of a variant are counted, never gathered.
+   The number of blocks follows from the number of fingerprints (blocks_for).
 3. *Links.* Every fingerprint with a possible partner emits its whole ball of radius 1 (65
    variants). Those that meet there differ in at most 2 bits. For exactly 3 differing bits one
    of the two has an even and one an odd number of set bits; of the three bits two lie in the
@@ -24,9 +24,10 @@ How links are found without comparing all pairs:
    (so that chains are short), edges move to the new names, and so on until none is left.
    All steps are joins and grouped minima; nothing is collected.
 
-Edge cases: a null text is an empty one; a text without words has fingerprint zero and links
+Edge cases: a null text is an empty one; a text of any length is read whole; a text without words has fingerprint zero and links
 like any other; fewer words than a shingle give one shingle of all words. Repeated doc_ids give
-one row each. An empty table gives an empty result. Other columns are ignored.
+one row each; a component's id is its smallest id that isn't null. An empty table gives an empty
+result. Other columns are ignored. What keep_one does with null ids is said at survivors.
 """
 
 from __future__ import annotations
@@ -102,6 +103,18 @@ def block_masks(blocks: int) -> list[int]:
     return [((1 << 64) - 1) ^ sum(1 << b for b in range(a, z)) for a, z in zip(cut, cut[1:], strict=False)]
 
 
+def blocks_for(nodes: int, chance: float = 0.1) -> int:
+    """The fewest blocks (3 at least) with which a fingerprint of so many random ones has at most
+    ``chance`` partners by accident. Any number of blocks finds all pairs; with few, at some size
+    every fingerprint would meet another and step 2 would hold nothing back."""
+    for blocks in range(3, BITS // 2):
+        bits = BITS - BITS // blocks
+        near = 1 + bits + bits * (bits - 1) / 2  # two balls of radius 1 meet within 2 bits
+        if blocks * nodes * near / 2.0**bits <= chance:
+            return blocks
+    return BITS // 2
+
+
 def with_partners(nodes: DataFrame, blocks: int) -> DataFrame:
     """The fingerprints of nodes(fp) that may have another within 3 bits: no false negatives.
 
@@ -154,16 +167,17 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _roots(prints: DataFrame, blocks: int) -> DataFrame:
+def _roots(prints: DataFrame, blocks: int | None) -> DataFrame:
     """fp, first (its smallest doc_id), root (equal for what links reach) of each fingerprint."""
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    blocks = blocks or blocks_for(nodes.count())
     edges = materialise(links(materialise(with_partners(nodes.select("fp"), blocks), "candidates")), "links")
     roots = components(edges)
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     return materialise(named, "roots")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, blocks: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, blocks: int | None = None) -> DataFrame:
     """One row per document: doc_id, fp, component_id (smallest doc_id that links reach)."""
     prints = materialise(fingerprints(docs, shingle), "fingerprints")
     named = _roots(prints, blocks)
@@ -177,20 +191,34 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Rows that are broadcast at most (some 100 bytes each); more are joined through a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def few(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows, marked for a broadcast if there are at most so many."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def survivors(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Of docs, the first row of each component of rows(doc_id, digest, root), with all columns.
 
     First is the smallest doc_id (null ids last), then the smallest digest of the text. The row is
     found again by both, so that a null or reused id costs no other text. Rows equal in both: one.
+    Texts are not moved while the rows to drop are few: those are taken out by an anti-join.
     """
-    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("k"))
-    first = least.select(F.col("k.doc_id").alias("__first_id"), F.col("k.digest").alias("__first_digest"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    shared = rows.groupBy("root").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    named = rows.join(shared, "root").groupBy("doc_id", "digest").agg(F.bool_or(key == F.col("first")).alias("stays"), F.count("*").alias("n"))
+    named = materialise(named.select(F.col("doc_id").alias("__other_id"), F.col("digest").alias("__other_digest"), "stays", "n"), "shared")
     own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__digest", digest())
-    same = F.col("__id").eqNullSafe(F.col("__first_id")) & (F.col("__digest") == F.col("__first_digest"))
-    return own.join(first, same, "left_semi").dropDuplicates(["__id", "__digest"]).drop("__id", "__digest")
+    same = F.col("__id").eqNullSafe(F.col("__other_id")) & (F.col("__digest") == F.col("__other_digest"))
+    alone = own.join(few(named.where("not stays or n > 1")), same, "left_anti")
+    again = own.join(few(named.where("stays and n > 1")), same, "left_semi").dropDuplicates(["__id", "__digest"])
+    return alone.unionByName(again).drop("__id", "__digest")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, blocks: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 3, blocks: int | None = None) -> DataFrame:
     """The first document of each component (see survivors), with all its columns."""
     prints = materialise(fingerprints(docs, shingle, digests=True), "fingerprints")
     rows = prints.join(_roots(prints, blocks).select("fp", "root"), "fp")

@@ -3,7 +3,7 @@ import zlib
 from collections import defaultdict
 
 import corpus_pipeline
-from cladeforge.llm import chunk_tokens, markov_secrets, pu_quality, simhash, spans, toxicity_grammar
+from cladeforge.llm import chunk_tokens, markov_secrets, pu_quality, spans, toxicity_grammar
 
 FILL = "river stone cloud window garden letter morning paper silver forest winter table music engine market bridge".split()
 
@@ -20,13 +20,20 @@ def write_tables(spark, path):
         rows.append((i, text, "en", "s", len(text)))
         labels.append((i, int(not poor), int(toxic)))
     rows += [(1000 + k, rows[2][1], "en", "s", 1) for k in range(5)]
+    rows += [(1200 + k, " ".join(["River", *rows[k][1].split()]), "en", "s", 1) for k in range(2, 600, 10)]
+    labels += [(1200 + k, 1, 0) for k in range(2, 600, 10)]
     rows += [(1100, rows[3][1] + " password=abcdefgh1234", "en", "s", 1), (1101, None, "en", "s", 0), (1102, "", None, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
 
 
-def components(prints):
-    left, out = dict(prints), {}
+def shingles(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)} - {""}
+
+
+def components(sets):
+    left, out = dict(sets), {}
     while left:
         seen, queue = set(), [min(left)]
         while queue:
@@ -34,7 +41,7 @@ def components(prints):
             if a in left:
                 p = left.pop(a)
                 seen.add(a)
-                queue += [b for b, q in left.items() if (p ^ q).bit_count() <= 3]
+                queue += [b for b, q in left.items() if 5 * len(p & q) >= 4 * len(p | q)]
         out |= dict.fromkeys(seen, min(seen))
     return out
 
@@ -58,7 +65,8 @@ def test_stages_against_plain_python(spark, tmp_path):
             want = {i: r for i, r in want.items() if net.probability(pu_quality.features(r.text or "")[None])[0] >= 0.7}
             assert not any("|" in (r.text or "") for r in want.values()) and len(want) > 400
         elif name == "near_duplicates":
-            group = components({i: simhash.fingerprint(r.text or "") for i, r in want.items()})
+            group = components({i: shingles(r.text or "") for i, r in want.items()})
+            assert sum(i >= 1200 and group[i] < 1000 for i in group) > 20
             want = {i: r for i, r in want.items() if group[i] == i}
             assert not want.keys() & set(range(1000, 1005)) and len(want) > 300
         elif name == "secrets":
@@ -85,3 +93,22 @@ def test_stages_against_plain_python(spark, tmp_path):
         assert now.columns == columns
         assert {r.doc_id: r.text for r in now.collect()} == {i: r.text for i, r in want.items()}
     assert corpus_pipeline.run(spark, str(tmp_path)).agg({"length": "sum"}).first()[0] == sum(p.length for own in pieces.values() for p in own)
+
+
+def test_null_and_reused_ids_and_empty_tables(spark, tmp_path):
+    """No text is lost for its id: rows (null, null, 1, 1, 2), all but one of different texts."""
+    text = lambda k: " ".join(random.Random(k).choices(FILL, k=60)).capitalize() + "."
+    rows = [(None, text(1)), (None, text(2)), (1, text(3)), (1, text(4)), (2, text(5)), (None, text(5)), (2, text(5))]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, digest string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(i, t) for i, t in rows[:5]], key=str)
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    tok = chunk_tokens.tokenizer(chunk_tokens.vocabulary_path())
+    assert got.agg({"length": "sum"}).first()[0] == sum(len(tok.whole(t)) // 4 + 1 for _, t in rows[:5])
+    (tmp_path / "empty").mkdir()
+    docs.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/empty/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0

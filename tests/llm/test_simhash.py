@@ -53,11 +53,20 @@ def test_components_of_planted_fingerprints(spark):
                 x ^= 1 << b
             prints.add(x)
     nodes = spark.createDataFrame([(simhash._signed(x),) for x in prints], "fp long")
-    got = simhash.components(simhash.links(simhash.with_partners(nodes, 3)))
-    seen = {r.node % 2**64: r.root % 2**64 for r in got.collect()}
     want = brute(prints)
     groups = lambda m: {frozenset(k for k in prints if m.get(k, k) == r) for r in {m.get(k, k) for k in prints}}
-    assert groups(seen) == groups(want)
+    for blocks in (3, 4, 5, 7):  # any number of blocks finds every pair
+        partners = simhash.with_partners(nodes, blocks)
+        near = {f for f in prints for g in prints if 0 < (f ^ g).bit_count() <= 3}
+        assert near <= {r.fp % 2**64 for r in partners.collect()}
+        if blocks in (3, 5):
+            seen = {r.node % 2**64: r.root % 2**64 for r in simhash.components(simhash.links(partners)).collect()}
+            assert groups(seen) == groups(want)
+
+
+def test_blocks_grow_with_the_nodes():
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**8)] == [3, 3, 3]
+    assert 3 < simhash.blocks_for(10**10) <= 6 and simhash.blocks_for(10**9) <= simhash.blocks_for(10**10)
 
 
 def test_documents(spark):
@@ -84,3 +93,14 @@ def test_null_and_reused_ids_lose_no_text(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
     assert sorted(kept, key=str) == sorted([(None, b), (3, c), (5, d), (7, a), (None, None)], key=str)
+
+
+def test_survivors_beyond_a_broadcast(spark, monkeypatch):
+    """The same rows stay where the rows to drop are too many to broadcast."""
+    rows = [(i % 40 if i % 9 else None, f"text number {i % 25} of many words in a row", i) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    want = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(simhash.few, "__defaults__", (0,))
+    assert sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str) == want
+    assert len(want) == len({t for _, t in want})
