@@ -1,28 +1,34 @@
 """Exact top-k by inner product: the three-phase uniform threshold algorithm.
 
-Vectors are taken as integers floor(256 * x). Their dimensions are cut into ``LISTS`` lists: a
-vector's score for a query is the sum of its partial scores, one in each list.
-
-1. *Gather.* For every query each list gives its k highest partial scores, with the vectors that
-   have them. A vector's score is at least what it was seen with plus, for the lists in which it
-   was not, their lowest partial score. The k-th highest of these lower bounds is tau.
-2. *Cutoff.* Above the lists' lowest scores, tau is shared evenly: if in every list a vector is
-   below lowest + (tau - sum of lowest) / LISTS, its score is below tau, and k vectors are at
-   least tau. The cutoff is safe, and it is sent back to the lists.
-3. *Resolve.* Every vector that reaches the cutoff in some list is collected where it lies, its
-   remaining partial scores are added, and the k best of the part, ties to the smaller id, are
-   merged with those of the other parts.
+Vectors are taken as integers floor(256 * x). Their dimensions, ordered by energy (the sum of squares
+over all rows, largest first), are cut into ``LISTS`` lists: a vector's score for a query is the sum of its
+partial scores, one in each list. What lists not yet read can add is at most the product of both
+vectors' lengths there (Cauchy-Schwarz).
+
+1. *Gather.* The first list gives, for every query and block of vectors, the GATHERED highest partial
+   scores; only those vectors are scored exactly. The k-th highest exact score is tau.
+2. *Cutoff.* k vectors have tau at least, so a vector whose bound is below tau is not among the k best.
+   This safe cutoff is sent back to all blocks.
+3. *Resolve.* The first list is read again and what its bound leaves above the cutoff goes on to the second
+   list, and so on, each list for the vectors only that the ones before left; those that are left after
+   the last have their exact score. The k best of the block, ties to the smaller id, are merged with
+   those of the other blocks.
+
+How much the cutoff saves depends on the vectors: much where a few dimensions hold most energy, little where
+energy is even (see the README for measured shares).
 
 Physically the vectors are packed into blocks of at most BLOCK_ROWS rows and queries into blocks of
-at most QUERY_ROWS; each block of vectors meets each block of queries by an equi-join on the block's
-number, and a pair of blocks is one matrix product. Cutoffs travel with their query block. Memory is
-that of a few pairs of blocks; nothing is broadcast or gathered on the driver but the number of rows.
+at most QUERY_ROWS (fewer rows where vectors are long: BLOCK_BYTES); each block of vectors meets each
+block of queries by an equi-join on the block's number, and a pair of blocks is a few matrix products.
+Cutoffs travel with their query block. Memory is that of a few pairs of blocks; nothing is broadcast or
+gathered on the driver but the number of rows and the energy of the dimensions.
 
 Edge cases: rows with null id, null vector, null or non-finite components take no part. Vectors of
 another length are read as if zeros followed. Repeated rows are candidates each; a query given twice
-is answered once for each of its rows. Fewer than k candidates: all of them. Other columns are
-ignored. Sums are exact in 64 bits (checked: |components| up to 2^24 for lengths up to 2^14;
-beyond that an error is raised, not a wrong sum).
+is answered once for each of its rows. Fewer than k candidates: all of them. An empty table, or one
+without queries, gives no rows. Other columns are ignored. Components beyond 64 bits are taken as the
+largest or smallest long. Sums are exact: in 64-bit integers, modulo 2^64 where they are large, so every
+score that fits a long is right; with such components nothing is cut off, as bounds could not be trusted.
 """
 
 from __future__ import annotations
@@ -36,8 +42,8 @@ from pyspark.sql import functions as F
 
 from cladeforge.llm.common import materialise
 
-K, EVERY, LISTS = 5, 50, 2
-BLOCK_ROWS, QUERY_ROWS, CHUNK = 8_192, 512, 64
+K, EVERY, LISTS, GATHERED = 5, 50, 4, 20
+BLOCK_ROWS, QUERY_ROWS, BLOCK_BYTES, CHUNK = 8_192, 512, 1 << 25, 64
 SCALE = 256
 _LOW = np.iinfo(np.int64).min + 1  # so that it can be negated
 
@@ -49,47 +55,48 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select("vec_id", F.transform("embedding", lambda x: F.floor(x * SCALE)).alias("v"))
 
 
-def blocks(rows: DataFrame, count: int, name: str) -> DataFrame:
+def blocks(rows: DataFrame, count: int, name: str, wide: int) -> DataFrame:
     """rows(vec_id, v) dealt by a hash of id and vector into ``count`` blocks, each packed as
-    ids (binary), v (binary), width."""
+    ids (binary), v (binary, wide columns), energy (of each column)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for b in batches:
-            for k, i, v in zip(b.column("k").to_pylist(), b.column("vec_id").to_pylist(), b.column("v").to_pylist(), strict=True):
-                held.setdefault(k, []).append((i, v))
+            column = b.column("v")
+            for k, i, v in zip(b.column("k").to_pylist(), b.column("vec_id").to_pylist(), column, strict=True):
+                held.setdefault(k, []).append((i, v.values.to_numpy()))
         for k, some in held.items():
             some.sort(key=lambda r: r[0])
-            wide = max(len(v) for _, v in some)
             m = np.zeros((len(some), wide), np.int64)
             for i, (_, v) in enumerate(some):
                 m[i, : len(v)] = v
-            if wide and (wide > 1 << 14 or np.abs(m).max() > 1 << 24):
-                raise ValueError("components or length beyond what 64-bit sums are checked for")
-            yield pa.RecordBatch.from_pydict({name: pa.array([k], pa.int32()), "ids": pa.array([np.array([i for i, _ in some], np.int64).tobytes()]), "v": pa.array([m.tobytes()]), "width": pa.array([wide], pa.int32())})
+            energy = (m.astype(np.float64) ** 2).sum(axis=0)
+            yield pa.RecordBatch.from_pydict({name: pa.array([k], pa.int32()), "ids": pa.array([np.array([i for i, _ in some], np.int64).tobytes()]), "v": pa.array([m.tobytes()]), "energy": pa.array([energy.tolist()], pa.list_(pa.float64()))})
 
     number = F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.lit(count)).cast("int")
-    return rows.select(number.alias("k"), "vec_id", "v").repartition(count, "k").mapInArrow(run, f"{name} int, ids binary, v binary, width int")
+    return rows.select(number.alias("k"), "vec_id", "v").repartition(count, "k").mapInArrow(run, f"{name} int, ids binary, v binary, energy array<double>")
 
 
-def _matrix(ids: bytes, v: bytes, width: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, np.int64)
-    m = np.zeros((len(i), wide), np.int64)
-    m[:, :width] = np.frombuffer(v, np.int64).reshape(len(i), width)
-    return i, m
+def largest(m: np.ndarray) -> float:
+    return float(max(m.max(initial=0), -float(m.min(initial=0))))
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b.T in int64; in float64 (fast, exact) while no sum can reach 2^53."""
-    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most < 1 << 53:
+    if largest(a) * largest(b) * max(1, a.shape[1]) < 1 << 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     return a @ b.T
 
 
 def cuts(width: int, lists: int = LISTS) -> list[slice]:
     at = [width * i // lists for i in range(lists + 1)]
-    return [slice(x, y) for x, y in zip(at, at[1:], strict=False)]
+    return [slice(x, y) for x, y in zip(at, at[1:], strict=False) if y > x] or [slice(0, 0)]
+
+
+def rests(m: np.ndarray, lists: list[slice]) -> list[np.ndarray]:
+    """The rows' length in the dimensions behind each list."""
+    squares = m.astype(np.float64) ** 2
+    return [np.sqrt(squares[:, c.stop :].sum(axis=1)) for c in lists]
 
 
 def best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -106,6 +113,32 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.where(np.take_along_axis(scores, out, axis=1) == _LOW, -1, out)
 
 
+def gather(q: np.ndarray, v: np.ndarray, same: np.ndarray, lists: list[slice], k: int) -> np.ndarray:
+    """The k highest exact scores of each query (fewer: _LOW) among the GATHERED first of the first list."""
+    head = np.where(same, _LOW, products(q[:, lists[0]], v[:, lists[0]]))
+    found = best(head, max(k, GATHERED))
+    out = np.full((len(q), k), _LOW, np.int64)
+    for j, hit in enumerate(found):
+        exact = np.sort(products(q[j : j + 1], v[hit[hit >= 0]])[0])[::-1][:k]
+        out[j, : len(exact)] = exact
+    return out
+
+
+def resolve(q: np.ndarray, v: np.ndarray, tau: np.ndarray, lists: list[slice]) -> tuple[np.ndarray, np.ndarray, int]:
+    """The rows of v that may reach tau (_LOW: none known) for some query, their exact scores, and how
+    many products of two components it took."""
+    left, total, work = np.arange(len(v)), np.zeros((len(q), len(v)), np.int64), 0
+    cut = largest(q) * largest(v) * max(1, q.shape[1]) < 1 << 62 and (tau > _LOW).all()
+    for c, q_rest, v_rest in zip(lists, rests(q, lists), rests(v, lists), strict=True):
+        total = total + products(q[:, c], v[left, c])
+        work += len(q) * len(left) * (c.stop - c.start)
+        if cut and c is not lists[-1]:
+            bound = total + q_rest[:, None] * v_rest[None, left] * (1 + 1e-9) + 1
+            some = np.flatnonzero((bound >= tau[:, None]).any(axis=0))
+            left, total = left[some], total[:, some]
+    return left, total, work
+
+
 def top(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, lists: int = LISTS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of vectors for each row of queries (default: the
     vectors whose id is divisible by EVERY), the query's own id left out."""
@@ -114,79 +147,56 @@ def top(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, lists:
     n, longest = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     m, asked_longest = asked.agg(F.count("*"), F.max(F.size("v"))).first()
     wide = max(longest or 0, asked_longest or 0)
-    r = materialise(blocks(rows, max(1, -(-n // BLOCK_ROWS)), "rb"), "rows")
-    q = materialise(blocks(asked, max(1, -(-m // QUERY_ROWS)), "qb"), "queries").select("qb", F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), F.col("width").alias("q_width"))
+    fit = max(1, BLOCK_BYTES // (8 * max(1, wide)))
+    row_blocks, query_blocks = max(1, -(-n // min(BLOCK_ROWS, fit))), max(1, -(-m // min(QUERY_ROWS, fit)))
+    r = materialise(blocks(rows, row_blocks, "rb", wide), "rows")
+    q = materialise(blocks(asked, query_blocks, "qb", wide), "queries").select("qb", F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
+    energy = {e["pos"]: e["e"] for e in r.select(F.posexplode("energy").alias("pos", "e")).groupBy("pos").agg(F.sum("e").alias("e")).collect()}  # a row a dimension
+    order = np.array(sorted(range(wide), key=lambda d: (-energy.get(d, 0.0), d)), np.int64)
+    parts = cuts(wide, lists)
+    r = r.drop("energy")
     # every block of rows meets every block of queries: an equi-join on the number of the block of rows
-    numbers = F.sequence(F.lit(0), F.lit(max(1, -(-n // BLOCK_ROWS)) - 1))
-    asks = q.withColumn("rb", F.explode(numbers))
-
-    def sides(b: pa.RecordBatch, i: int):
-        get = lambda name: b.column(name)[i].as_py()
-        ids, v = _matrix(get("ids"), get("v"), get("width"), wide)
-        q_ids, q_v = _matrix(get("q_ids"), get("q_v"), get("q_width"), wide)
-        for at in range(0, len(q_ids), CHUNK):
-            own, qv = q_ids[at : at + CHUNK], q_v[at : at + CHUNK]
-            parts = [products(qv[:, c], v[:, c]) for c in cuts(wide, lists)]
-            yield at, own, ids, parts, own[:, None] == ids[None, :]
-
-    def _batch(rows_: list[tuple]) -> pa.RecordBatch:
-        kinds = (*[pa.int32()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_, strict=True), kinds, strict=True)], ["qb", "seat", "list", "rb", "rows", "scores", "low"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pairs = r.join(q.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)))), "rb")
+
+    def matrix(b: pa.RecordBatch, i: int, ids: str, v: str) -> tuple[np.ndarray, np.ndarray]:
+        own = np.frombuffer(b.column(ids)[i].as_buffer(), np.int64)
+        return own, np.frombuffer(b.column(v)[i].as_buffer(), np.int64).reshape(len(own), wide)[:, order]
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                out: list[tuple] = []
-                for at, own, ids, parts, same in sides(b, i):
-                    for which, part in enumerate(parts):
-                        low = np.where(same, np.iinfo(np.int64).max, part).min(axis=1)
-                        found = best(np.where(same, _LOW, part), k)
-                        for j in range(len(own)):
-                            hit = found[j][found[j] >= 0]
-                            if len(hit):
-                                # the seat is the row's place in its block: repeated ids stay apart
-                                out.append((b.column("qb")[i].as_py(), at + j, which, b.column("rb")[i].as_py(), hit.tolist(), part[j, hit].tolist(), int(low[j])))
-                if out:
-                    yield _batch(out)
-
-    pairs = r.join(asks, "rb")
-    lists_found = materialise(pairs.mapInArrow(gather, "qb int, seat int, list int, rb int, rows array<long>, scores array<long>, low long"), "local-lists")
-    lows = lists_found.groupBy("qb", "seat", "list").agg(F.min("low").alias("low"))
-    entries = lists_found.select("qb", "seat", "list", "rb", F.explode(F.arrays_zip("rows", "scores")).alias("e")).select("qb", "seat", "list", "rb", F.col("e.rows").alias("row"), F.col("e.scores").alias("part"))
-    place = F.row_number().over(Window.partitionBy("qb", "seat", "list").orderBy(F.desc("part"), "rb", "row"))
-    seen = entries.withColumn("place", place).where(F.col("place") <= k).groupBy("qb", "seat", "rb", "row").agg(F.sum("part").alias("part"), F.collect_set("list").alias("lists"))
-    by_query = lows.groupBy("qb", "seat").agg(F.sort_array(F.collect_list(F.struct("list", "low"))).alias("lows"))  # one entry per list
-    unseen = F.aggregate("lows", F.lit(0).cast("long"), lambda acc, x: acc + F.when(F.array_contains("lists", x["list"]), F.lit(0).cast("long")).otherwise(x["low"]))
-    bound = seen.join(by_query, ["qb", "seat"]).withColumn("bound", F.col("part") + unseen)
-    kth = F.row_number().over(Window.partitionBy("qb", "seat").orderBy(F.desc("bound")))
-    tau = bound.withColumn("kth", kth).where(F.col("kth") <= k).groupBy("qb", "seat").agg(F.min("bound").alias("tau"), F.count("*").alias("seen"), F.first("lows").alias("lows"))
-    # fewer than k seen: no cutoff
-    cutoffs = tau.select("qb", F.struct("seat", F.when(F.col("seen") >= k, F.col("tau")).alias("tau"), F.col("lows.low").alias("lows")).alias("c")).groupBy("qb").agg(F.collect_list("c").alias("cutoffs"))  # QUERY_ROWS entries at most
-
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                (ids, v), (q_ids, qv) = matrix(b, i, "ids", "v"), matrix(b, i, "q_ids", "q_v")
+                for at in range(0, len(q_ids), CHUNK):
+                    own = q_ids[at : at + CHUNK]
+                    seen = gather(qv[at : at + CHUNK], v, own[:, None] == ids[None, :], parts, k)
+                    j, place = np.nonzero(seen > _LOW)
+                    # the seat is the row's place in its block: repeated ids stay apart
+                    yield pa.RecordBatch.from_pydict({"qb": pa.array([b.column("qb")[i].as_py()] * len(j), pa.int32()), "seat": pa.array(at + j, pa.int32()), "score": pa.array(seen[j, place])})
+
+    seen = pairs.mapInArrow(gathered, "qb int, seat int, score long")
+    place = F.row_number().over(Window.partitionBy("qb", "seat").orderBy(F.desc("score")))
+    kth = seen.withColumn("place", place).where(F.col("place") == k).select("qb", F.struct("seat", F.col("score").alias("tau")).alias("c"))
+    cutoffs = materialise(kth.groupBy("qb").agg(F.collect_list("c").alias("cutoffs")), "cutoffs")  # QUERY_ROWS entries at most
+
+    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                tau_of = {c["seat"]: c for c in b.column("cutoffs")[i].as_py()}
-                out: list[tuple] = []
-                for at, own, ids, parts, same in sides(b, i):
-                    enough = np.zeros(same.shape, bool)
-                    for j in range(len(own)):
-                        c = tau_of.get(at + j)
-                        if c is None or c["tau"] is None:
-                            enough[j] = True
-                            continue
-                        # part - low >= share, in whole numbers: lists * (part - low) >= tau - sum(low)
-                        spare = c["tau"] - sum(c["lows"])
-                        for part, low in zip(parts, c["lows"], strict=True):
-                            enough[j] |= lists * (part[j] - low) >= spare
-                    total = np.where(enough & ~same, sum(parts), _LOW)
-                    found = best(total, k)
-                    for j in range(len(own)):
-                        out += [(int(own[j]), b.column("qb")[i].as_py(), at + j, int(ids[x]), int(total[j, x])) for x in found[j] if x >= 0]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["query_id", "qb", "seat", "vec_id", "score"])
-
-    local = pairs.join(cutoffs, "qb").mapInArrow(resolve, "query_id long, qb int, seat int, vec_id long, score long")
+                (ids, v), (q_ids, qv) = matrix(b, i, "ids", "v"), matrix(b, i, "q_ids", "q_v")
+                tau = np.full(len(q_ids), _LOW, np.int64)
+                for c in b.column("cutoffs")[i].as_py() or ():
+                    tau[c["seat"]] = c["tau"]
+                for at in range(0, len(q_ids), CHUNK):
+                    own = q_ids[at : at + CHUNK]
+                    left, total, _ = resolve(qv[at : at + CHUNK], v, tau[at : at + CHUNK], parts)
+                    found = best(np.where(own[:, None] == ids[None, left], _LOW, total), k)
+                    j, place = np.nonzero(found >= 0)
+                    hit = found[j, place]
+                    yield pa.RecordBatch.from_pydict({
+                        "query_id": pa.array(own[j]), "qb": pa.array([b.column("qb")[i].as_py()] * len(j), pa.int32()), "seat": pa.array(at + j, pa.int32()),
+                        "vec_id": pa.array(ids[left[hit]]), "score": pa.array(total[j, hit]),
+                    })
+
+    local = pairs.join(cutoffs, "qb", "left").mapInArrow(resolved, "query_id long, qb int, seat int, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("qb", "seat").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

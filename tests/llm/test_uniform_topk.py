@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,3 +37,28 @@ def test_few_and_none(spark):
     assert sorted(map(tuple, ut.top(frame).collect())) == brute([(r.vec_id, r.embedding) for r in frame.collect()])
     assert ut.top(frame.where(F.lit(False))).count() == 0
     assert ut.top(frame.where("vec_id = 0")).count() == 0
+
+
+def test_cutoff_leaves_what_counts():
+    """Where energy lies in few dimensions most products are saved, and no result is lost."""
+    rng = np.random.default_rng(2)
+    v = np.floor(rng.normal(0, 256, (3000, 32)) * np.linspace(1, 0.01, 32) ** 3).astype(np.int64)
+    q, lists = v[::100], ut.cuts(32)
+    scores = q @ v.T
+    same = np.arange(len(v))[None, :] == 100 * np.arange(len(q))[:, None]
+    tau = ut.gather(q, v, same, lists, 5)[:, -1]
+    want = np.sort(np.where(same, ut._LOW, scores), axis=1)[:, -5:]
+    assert (tau <= want[:, 0]).all()
+    left, total, work = ut.resolve(q[:4], v, tau[:4], lists)
+    assert (total == scores[:4, left]).all() and work < 0.6 * 4 * v.size
+    assert all(set(np.flatnonzero(scores[j] >= max(t, want[j, 0]))) <= set(left) for j, t in enumerate(tau[:4]))
+
+
+def test_large_components(spark):
+    """Scores near the ends of a long, with partial sums beyond: still exact."""
+    big = float(2**40)
+    rows = [(0, [big, 1.0, -big, 0.5]), (1, [2.0, 3.0, 2.0, 1.0]), (2, [8192.0, 0.0, 8191.0, 7.0]), (3, [big, 0.0, big, 4.0]), (4, [-2.0, 5.0, 1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, ut.top(frame).collect())) == brute([(r.vec_id, r.embedding) for r in frame.collect()])
+    long = spark.createDataFrame([(i * 25, [0.01 * (i + j % 7) for j in range(20_000)]) for i in range(5)], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, ut.top(long).collect())) == brute([(r.vec_id, r.embedding) for r in long.collect()])
