@@ -13,18 +13,25 @@ A clause (up to . ! ? ; : or a line's end) is scored by the sum of its events' w
 weight of the word that made each; a document by the logistic curve of the log of its clauses' sum.
 
 The lexicon has a few general words of four languages, given below, and stems learned from labelled
-documents: whole words and prefixes of 4 to 6 letters that are met in toxic documents in EVIDENCE or
-more different surroundings (copies share theirs). What counts as more than chance depends on the
-sample: the log-likelihood ratio G2 must exceed twice the log of the number of stems tried, so that of
-stems without meaning less than one is expected to pass, at any sample size and for rare languages as
-for frequent ones. A stem that clean documents hold as well may pass, with a lower weight: a
-stem's weight is its smoothed log-odds, so one such word is little and several are much. A prefix that one
-whole word accounts for (SPREAD) is left to that word. The curve's two numbers are fitted on the same
-sample. A learned stem is an insult to the grammar; alone it makes an event too, a weaker one than in a
-clause with a target.
+documents: whole words and prefixes of 4 to 6 letters. Evidence are the different surroundings in
+which toxic documents hold a stem (copies share theirs).
+
+* What counts as more than chance depends on the sample: with EVIDENCE surroundings or more, a stem's
+  log-likelihood ratio G2 must exceed twice the log of the number of stems tried, so that of stems
+  without meaning less than one is expected to pass, at any sample size.
+* Of those that pass, stems met nearly only in toxic documents (PRECISION) are learned. A prefix that one
+  whole word accounts for (SPREAD) is left to that word.
+* A prefix that passes but is met in clean documents too stands behind the whole words it begins: such a
+  form needs two surroundings only, and the share of its documents that are toxic, taken together with
+  BACKING documents of the prefix's share, must reach FORM. So inflected forms in rare languages are
+  learned from a few labels, while the prefix alone flags nothing.
+
+A stem's weight is its log-odds; the curve's two numbers are fitted on the same sample. A learned
+stem is an insult to the grammar; alone it makes an event too, a weaker one than in a clause with
+a target.
 
 Training sees at most SAMPLE labelled documents (smallest hash of the id, held-out fold left out)
-and the model has at most STEMS stems; scoring sees every whole text in one pass without a shuffle.
+and the model has at most 2 STEMS stems; scoring sees every whole text in one pass without a shuffle.
 
 Edge cases: a null text is empty; repeated rows give a row each; without toxic labels the given
 words alone are used with a fixed curve; other columns are ignored; an empty table gives no rows.
@@ -48,7 +55,8 @@ from cladeforge.llm import labelled
 from cladeforge.llm.common import slices, texts
 
 SAMPLE, STEMS = 24_000, 20_000
-EVIDENCE, ODDS, SPREAD = 3, 1.5, 1.2
+EVIDENCE, PRECISION, SPREAD = 3, 0.9, 1.2
+ODDS, BACKING, FORM = 1.5, 2.0, 0.7
 THRESHOLD = 0.3
 REACH = 3
 PREFIXES = (4, 5, 6)
@@ -253,16 +261,24 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
     share = n_t / (n_t + n_c)
     g2 = 2 * (F.col("t") * F.log(F.col("t") / ((F.col("t") + F.col("c")) * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / ((F.col("t") + F.col("c")) * (1 - share)))).otherwise(0.0))
     odds = F.log(F.col("t") / n_t) - F.log((F.col("c") + 0.5) / n_c)
-    tried = counts.where(f"stem <> '' and evidence >= {EVIDENCE}").select("stem", "t", g2.alias("g2"), odds.alias("odds"))
+    tried = counts.where(f"stem <> '' and evidence >= {EVIDENCE}").select("stem", "t", "c", g2.alias("g2"), odds.alias("odds"))
     least = 2 * math.log(max(2, tried.count()))
-    good = tried.where((F.col("g2") >= least) & (F.col("odds") >= ODDS))
-    rows = good.orderBy(F.desc("g2"), "stem").limit(STEMS).collect()
+    passed = tried.where(F.col("g2") >= least)
+    rows = passed.where(f"t >= {PRECISION} * (t + c) and odds > 0").orderBy(F.desc("g2"), "stem").limit(STEMS).collect()
     most: dict[str, int] = {}  # of each prefix, the count of its most frequent whole word
     for r in rows:
         if r.stem.endswith(" "):
             for n in PREFIXES:
                 most[r.stem[:n]] = max(most.get(r.stem[:n], 0), r.t)
-    return {r.stem: min(1.0, r.odds / 5) for r in rows if r.stem.endswith(" ") or r.t > SPREAD * most.get(r.stem, 0)}
+    learned = {r.stem: min(1.0, r.odds / 5) for r in rows if r.stem.endswith(" ") or r.t > SPREAD * most.get(r.stem, 0)}
+    behind = passed.where(f"stem not like '% ' and odds >= {ODDS}").orderBy(F.desc("g2"), "stem").limit(STEMS).select(F.col("stem").alias("prefix"), (F.col("t") / (F.col("t") + F.col("c"))).alias("own"))
+    begun = F.explode(F.array(*(F.substring("stem", 1, n) for n in PREFIXES)))
+    forms = counts.where("stem like '% ' and evidence >= 2").select("stem", "t", "c", begun.alias("prefix")).join(F.broadcast(behind), "prefix")  # STEMS rows at most
+    forms = forms.groupBy("stem", "t", "c").agg(F.max("own").alias("own")).withColumn("chance", (F.col("t") + BACKING * F.col("own")) / (F.col("t") + F.col("c") + BACKING + 0.1))
+    for r in forms.where(F.col("chance") >= FORM).orderBy(F.desc("chance"), "stem").limit(STEMS).collect():
+        odds = math.log(r.chance / (1 - r.chance)) - math.log(share / (1 - share))
+        learned.setdefault(r.stem, min(1.0, max(0.0, odds / 5)))
+    return {stem: w for stem, w in learned.items() if w > 0}
 
 
 def fit_curve(totals: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
