@@ -1,11 +1,14 @@
-"""Normalised sequences and their words in NumPy, the twin of the expressions in sequences.py."""
+"""Normalised sequences, their words and sketches in NumPy, the twin of the expressions in sequences.py.
+
+A word travels as its 16-bit code, two bits a base; letters are put back for output only.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 
-from cladeforge.functions.sequences import IUPAC, K
+from cladeforge.functions.sequences import IUPAC, SKETCH, WORD_SPACE, K
 
 _NORMAL = np.full(256, ord("N"), np.uint8)
 _KNOWN = np.zeros(256, bool)
@@ -15,7 +18,27 @@ for _c in IUPAC + "U":
         _KNOWN[_b] = True
 _BASE = np.full(256, -1, np.int64)
 _BASE[[ord(c) for c in "ACGT"]] = range(4)
-_LETTER = np.frombuffer(b"ACGT", np.uint8)
+_EVERY = np.arange(WORD_SPACE, dtype=np.int64)
+
+
+def _permutation() -> np.ndarray:
+    """The one-to-one hash of every code (see sequences.permuted)."""
+    x = _EVERY ^ _EVERY >> 8
+    x = x * 0x88B5 & 0xFFFF
+    x = x ^ x >> 7
+    x = x * 0xE1B5 & 0xFFFF
+    return (x ^ x >> 9).astype(np.int32)
+
+
+def _reversal() -> np.ndarray:
+    """The code of every word's reverse complement."""
+    out = np.zeros(WORD_SPACE, np.int64)
+    for i in range(K):
+        out = out << 2 | 3 - (_EVERY >> 2 * i & 3)
+    return out.astype(np.int32)
+
+
+PERMUTED, REVERSED = _permutation(), _reversal()
 
 
 def normal(seq: str) -> tuple[np.ndarray, int]:
@@ -37,11 +60,21 @@ def codes(normalized: np.ndarray) -> np.ndarray:
     return np.unique(out[bad[K:] == bad[:-K]])
 
 
-def vocabularies(many: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
-    """Offsets and words (strings) of many sequences, for a list array."""
-    found = [codes(s) for s in many]
-    every = np.concatenate(found) if found else np.empty(0, np.int64)
-    letters = _LETTER[every[:, None] >> np.arange(2 * (K - 1), -1, -2) & 3]
-    ends = pa.py_buffer((np.arange(len(every) + 1) * K).astype(np.int32).tobytes())
-    words = pa.StringArray.from_buffers(len(every), ends, pa.py_buffer(letters.astype(np.uint8).tobytes()))
-    return pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), words
+def lists(many: list[np.ndarray]) -> pa.ListArray:
+    """Lists of ints."""
+    flat = np.concatenate([np.empty(0, np.int32), *many]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, many)]), pa.int32()), pa.array(flat))
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """The SKETCH smallest hashes of different codes, ascending."""
+    hashes = PERMUTED[own]
+    return np.sort(np.partition(hashes, SKETCH - 1)[:SKETCH] if len(hashes) > SKETCH else hashes)
+
+
+def reversed_lists(words: pa.ListArray) -> pa.ListArray:
+    """The vocabularies of the other strand, each ascending."""
+    bounds = words.offsets.to_numpy().astype(np.int64)
+    flat = REVERSED[words.values.to_numpy()[bounds[0] : bounds[-1]]].astype(np.int64)
+    row = np.repeat(np.arange(len(words)), np.diff(bounds))
+    return pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), pa.array((np.sort(row * WORD_SPACE + flat) % WORD_SPACE).astype(np.int32)))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cladeforge.functions import sequences as S
 from cladeforge.functions.hashing import SplitMix, blake3
 from cladeforge.operators.index import prefix
+from cladeforge.sources.shared import materialise
 
 #: Fixed values.
 ORDER, FAMILY, GENUS = 4, 5, 6
@@ -23,6 +24,7 @@ CAPS = (1, 2, 3, 5, 10, 20, 25, 50, 100, 250, 500, 1000, 2500)
 CLASSES = ((">=20%", 0.20), ("10-20%", 0.10), ("5-10%", 0.05), ("2-5%", 0.02), ("<2%", 0.0))
 QUANTILES = {"p01": 0.01, "p25": 0.25, "median": 0.50, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 DENSITY_BANDS, BANDS = 4, 8
+SURVEY_VERSION = 1
 TRUNCATION_LENGTH, TRUNCATION_RECORDS = 4096, 100
 
 
@@ -67,13 +69,13 @@ class Policy:
 
 
 def survey(recs: DataFrame) -> DataFrame:
-    """Summaries of records(ordinal, label, seq, words, tax) with a valid lineage: ordinal, lineage,
+    """Summaries of records(ordinal, label, seq, words, sketch, tax) with a valid lineage: ordinal, lineage,
     leaf and order (path strings), length, words, ambiguous, digest, sketch, shallow, organellar."""
     lineage = F.col("tax.lineage")
     domain = lineage[0]
     return recs.where("tax.error is null").select(
         "ordinal", "label", lineage.alias("lineage"), prefix(lineage, GENUS).alias("leaf"), prefix(lineage, ORDER).alias("order_path"), F.length("seq").alias("length"), F.size("words").alias("words"),
-        S.ambiguous(F.col("seq")).alias("ambiguous"), F.sha2("seq", 256).alias("digest"), S.sketch(F.col("words")).alias("sketch"),
+        S.ambiguous(F.col("seq")).alias("ambiguous"), F.sha2("seq", 256).alias("digest"), "sketch",
         ((lineage[FAMILY] == "") & (lineage[GENUS] == "")).alias("shallow"), (domain.startswith("_") | domain.startswith("Unispike")).alias("organellar"),
     )
 
@@ -219,9 +221,14 @@ def eligible(summaries: DataFrame, found: DataFrame, policy: Policy) -> tuple[Da
     return good.unionByName(ranked), ranked
 
 
+def _pool(summaries: DataFrame, found: DataFrame, policy: Policy) -> DataFrame:
+    """What a selector may keep, written once, as it is read several times."""
+    return materialise(eligible(summaries, found, policy)[0], "eligible")
+
+
 def select_first(summaries: DataFrame, found: DataFrame, policy: Policy) -> DataFrame:
     """Kept rows: the ``cap`` preferred ones of each lineage."""
-    rows, _ = eligible(summaries, found, policy)
+    rows = _pool(summaries, found, policy)
     place = F.row_number().over(Window.partitionBy("leaf").orderBy(*preference(policy)))
     return rows.join(median_words(rows), "leaf").withColumn("place", place).where("place <= cap").drop("place", "median")
 
@@ -259,9 +266,94 @@ def hazard_after(kept: DataFrame, policy: Policy) -> DataFrame:
     return kept.agg(F.count("*").alias("records"), F.count_if(F.col("words") / F.lit(float(S.WORD_SPACE)) >= 0.05).alias("saturating"), F.count_if("organellar").alias("organellar"), F.count_if(policy.demoted()).alias("over_demote"))
 
 
+def missing(found: DataFrame, policy: Policy, kept: DataFrame, most: int = 32) -> list[str]:
+    """The first lineages, but those left out on purpose, that a selection lost."""
+    caps = group_caps(found, policy).where("not deliberate")
+    lost = caps.join(kept.select("leaf").distinct(), "leaf", "left_anti").orderBy("g").limit(most)
+    return [r.name for r in lost.select(F.array_join("lineage", ",").alias("name")).collect()]
+
+
+def plan(survey_: DataFrame, found: DataFrame, policy: Policy) -> dict:
+    """All parts of the plan, for a report: each is an aggregate of a bounded number of rows."""
+    one = lambda df: (df.first() or {}) and df.first().asDict()
+    tops: dict[str, list] = {}
+    for r in occupancy_domains(survey_).orderBy("class", "place").collect():
+        tops.setdefault(r["class"], []).append([r.domain, r.records])
+    classes = {r["class"]: r for r in occupancy_classes(survey_).collect()}
+    shallow = shallow_classes(found).where("class is not null").groupBy("class").agg(F.count("*").alias("lineages"), F.sum("records").alias("records"))
+    spread = diversity(survey_, found).agg(F.count("*").alias("pairs"), F.avg("distance").alias("mean_distance"), F.avg((F.col("distance") >= policy.ceiling).cast("int")).alias("at_ceiling"))
+    return {
+        "totals": one(plan_totals(survey_, policy)) | one(survey_.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bases"))),
+        "lineages": found.count(), "lengths": one(percentiles(survey_)), "duplicates": one(duplicate_audit(survey_)),
+        "cap_curve": {r.cap: r.records for r in cap_curve(found).orderBy("cap").collect()},
+        "occupancy": [{"class": name, "records": classes[name].records, "bases": classes[name].bases, "domains": tops.get(name, [])} for name, _ in CLASSES if name in classes],
+        "shallow": {r["class"]: {"lineages": r.lineages, "records": r.records} for r in shallow.collect()},
+        "diversity": one(spread), "truncation": one(truncation_artifact(survey_)), "max_length": policy.max_length, "cap": policy.cap,
+    }
+
+
+def share(part: float, whole: float) -> float:
+    """In percent; of nothing: 0."""
+    return 100.0 * part / whole if whole else 0.0
+
+
+def render(p: dict) -> str:
+    """The plan as text."""
+    t, n = p["totals"], p["totals"]["records"]
+    out = [f"records {n:,}, bases {t['bases']:,}, lineages {p['lineages']:,}"]
+    if p["lengths"] and n:
+        out.append("length  " + "  ".join(f"{k} {v:,.1f}" if k == "mean" else f"{k} {v:,}" for k, v in p["lengths"].items()))
+    for name in ("organellar", "demoted", "low_complexity", "ambiguous"):
+        out.append(f"{name.replace('_', ' ')} {t[name]:,} ({share(t[name], n):.2f}%)")
+    out.append(f"duplicates {p['duplicates']['duplicates']:,}, of conflicting lineage {p['duplicates']['conflicting']:,}")
+    out += [f"shallow, {k}: {v['records']:,} records in {v['lineages']:,} lineages" for k, v in sorted(p["shallow"].items())]
+    out += [f"words {c['class']}: {c['records']:,} records, {c['bases']:,} bases" for c in p["occupancy"]]
+    if p["diversity"].get("pairs"):
+        out.append(f"diversity: {p['diversity']['pairs']:,} pairs, mean distance {p['diversity']['mean_distance']:.3f}, {100 * p['diversity']['at_ceiling']:.1f}% at the ceiling")
+    out.append("cap      records kept")
+    out += [f"{'>' if cap == p['cap'] else ' '} {cap:>6,} {kept:>14,} ({share(kept, n):.1f}%)" for cap, kept in p["cap_curve"].items()]
+    return "\n".join(out) + "\n"
+
+
+#: A share that grows by more than this factor is concentrated by the selection.
+CONCENTRATED = 1.2
+
+
+def hazard(p: dict, after: dict | None = None) -> str | None:
+    """A warning of references that hold so many words that they match anything; None without any. With
+    hazard_after of a selection, also the shares before and after it."""
+    t, n = p["totals"], p["totals"]["records"]
+    floors = dict(CLASSES)
+    notable = sum(c["records"] for c in p["occupancy"] if floors[c["class"]] >= 0.05)
+    if not notable:
+        return None
+    out = [f"warning: {notable:,} references hold 5% or more of all {S.WORD_SPACE:,} words and match any query by chance"]
+    for c in p["occupancy"]:
+        if floors[c["class"]] >= 0.02:
+            out.append(f"  {c['class']:<8} {c['records']:>10,} records, {32 * floors[c['class']]:.1f} of 32 draws by chance; " + ", ".join(f"{d or '-'} ({k:,})" for d, k in c["domains"]))
+    if t["organellar"]:
+        out.append(f"  organellar or spike-in: {t['organellar']:,} records, {share(t['organellar'], n):.2f}% of records, {share(t['organellar_bases'], t['bases']):.2f}% of bases, mean length {t['organellar_bases'] // t['organellar']:,}")
+    if p["truncation"]:
+        out.append(f"  {p['truncation']['records']:,} records of exactly {p['truncation']['length']:,} letters: cut off upstream")
+    if after:
+        shares = [(share(notable, n), share(after["saturating"], after["records"])), (share(t["organellar"], n), share(after["organellar"], after["records"]))]
+        out.append(f"  after selection: {after['saturating']:,} of {after['records']:,} ({shares[0][1]:.3f}%, before {shares[0][0]:.3f}%), organellar {after['organellar']:,} ({shares[1][1]:.3f}%, before {shares[1][0]:.3f}%)")
+        if any(now > CONCENTRATED * before for before, now in shares):
+            out.append("  note: the selection raised their share: each sits in a lineage of its own, which a cap never trims")
+    out.append("  kept: no maximal length is set" if p["max_length"] is None else f"  records over {p['max_length']:,} letters are dropped")
+    return "\n".join(out) + "\n"
+
+
 # -- selectors that pick one record after another --------------------------------------------
 
 
+def _over_cap(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(leaf, ordinal of lineages within their cap, rows of the others)."""
+    sizes = rows.groupBy("leaf").agg(F.count("*").alias("__n"))
+    sized = rows.join(sizes, "leaf")
+    return sized.where("__n <= cap").select("leaf", "ordinal"), sized.where("__n > cap").drop("__n")
+
+
 def _greedy(rows: DataFrame, policy: Policy, pick) -> DataFrame:
     """Applies pick(pdf) -> kept positions to each lineage. A lineage's sketches (33 numbers a record)
     are held by one task; that is the selectors' nature, as each choice depends on all before it."""
@@ -278,10 +370,25 @@ def _preferred(pdf: pd.DataFrame) -> list[tuple]:
     return list(zip(pdf["demoted"].astype(int), pdf["ambiguous"], (pdf["words"] - pdf["median"]).abs(), pdf["ordinal"], strict=True))
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.float32:
-    union = np.union1d(a, b)[: S.SKETCH]
-    both = np.intersect1d(a, b)
-    return np.float32(np.isin(union, both).sum()) / np.float32(len(union)) if len(union) else np.float32(0)
+_NONE = 1 << 17  # no hash is as large
+
+
+def padded(sketches: list) -> np.ndarray:
+    """Sketches as rows of SKETCH numbers."""
+    out = np.full((len(sketches), S.SKETCH), _NONE, np.int64)
+    for i, s in enumerate(sketches):
+        out[i, : len(s)] = s
+    return out
+
+
+def alike(one: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Similarity (see sequences.jaccard) of a padded sketch to each of others, in single precision."""
+    both = np.sort(np.concatenate([np.broadcast_to(one, rows.shape), rows], axis=1), axis=1)
+    valid = both < _NONE
+    first = valid & np.concatenate([np.ones((len(rows), 1), bool), both[:, 1:] != both[:, :-1]], axis=1)
+    twice = np.concatenate([both[:, 1:] == both[:, :-1], np.zeros((len(rows), 1), bool)], axis=1) & first
+    among = first & (np.cumsum(first, axis=1) <= S.SKETCH)
+    return (twice & among).sum(axis=1).astype(np.float32) / np.maximum(1, among.sum(axis=1)).astype(np.float32)
 
 
 def select_maxmin(summaries: DataFrame, found: DataFrame, policy: Policy) -> DataFrame:
@@ -289,24 +396,22 @@ def select_maxmin(summaries: DataFrame, found: DataFrame, policy: Policy) -> Dat
 
     def pick(pdf: pd.DataFrame) -> list[int]:
         cap, n = int(pdf["cap"][0]), len(pdf)
-        if n <= cap:
-            return list(range(n))
-        preferred = {k: place for place, k in enumerate(sorted(range(n), key=_preferred(pdf).__getitem__))}
-        sound = (~pdf["demoted"]).astype(int).tolist()
-        density, sketches = pdf["density"].tolist(), [np.asarray(s) for s in pdf["sketch"]]
-        far = [np.float32(np.inf)] * n
-        chosen, left = [], set(range(n))
-        now = max(left, key=lambda i: (sound[i], density[i], -preferred[i]))
+        liked = np.empty(n, np.int64)  # the place in the order of preference
+        liked[sorted(range(n), key=_preferred(pdf).__getitem__)] = np.arange(n)
+        sound, density, sketches = (~pdf["demoted"]).to_numpy(int), pdf["density"].to_numpy(), padded(pdf["sketch"].tolist())
+        far, left, chosen = np.full(n, np.inf, np.float32), np.ones(n, bool), []
+        worth = np.zeros(n, np.float32)
         while True:
+            now = int(np.lexsort((-liked, density, worth, sound, left))[-1])
             chosen.append(now)
-            left.discard(now)
-            if len(chosen) >= cap or not left:
+            left[now] = False
+            if len(chosen) >= cap or not left.any():
                 return sorted(chosen)
-            for i in left:
-                far[i] = min(far[i], np.float32(1) - _near(sketches[now], sketches[i]))
-            now = max(left, key=lambda i: (sound[i], min(far[i], np.float32(policy.ceiling)), density[i], -preferred[i]))
+            far = np.minimum(far, np.float32(1) - alike(sketches[now], sketches))
+            worth = np.minimum(far, np.float32(policy.ceiling))
 
-    return _greedy(eligible(summaries, found, policy)[0], policy, pick)
+    within, over = _over_cap(_pool(summaries, found, policy))
+    return within.unionByName(_greedy(over, policy, pick))
 
 
 def select_cover(summaries: DataFrame, found: DataFrame, policy: Policy) -> DataFrame:
@@ -330,23 +435,24 @@ def select_cover(summaries: DataFrame, found: DataFrame, policy: Policy) -> Data
                 break
         return sorted(kept)
 
-    return _greedy(eligible(summaries, found, policy)[0], policy, pick)
+    return _greedy(_pool(summaries, found, policy), policy, pick)
 
 
 def select_random(summaries: DataFrame, found: DataFrame, policy: Policy, seed: int = 1, domain: bytes = b"cladeforge/curate/group\0") -> DataFrame:
     """leaf, ordinal: a seeded shuffle of lineages over their cap, cut at the cap."""
     digest = blake3(repr((policy, "random", seed)).encode())
 
-    def pick(pdf: pd.DataFrame) -> list[int]:
-        cap, order = int(pdf["cap"][0]), list(range(len(pdf)))
-        if len(order) > cap:
-            stream = SplitMix(np.frombuffer(blake3(domain + digest + int(pdf["g"][0]).to_bytes(4, "little"))[:8], "<u8"))
-            for i in range(len(order) - 1, 0, -1):
-                j = int(stream.bounded(i + 1)[0])
-                order[i], order[j] = order[j], order[i]
-        return sorted(order[:cap])
-
-    return _greedy(eligible(summaries, found, policy)[0], policy, pick)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = np.sort(pdf["ordinal"].to_numpy())
+        stream = SplitMix(np.frombuffer(blake3(domain + digest + int(pdf["g"].iloc[0]).to_bytes(4, "little"))[:8], "<u8"))
+        for i in range(len(order) - 1, 0, -1):
+            j = int(stream.bounded(i + 1)[0])
+            order[i], order[j] = order[j], order[i]
+        return pd.DataFrame({"leaf": pdf["leaf"].iloc[0], "ordinal": order[: int(pdf["cap"].iloc[0])]})
+
+    within, over = _over_cap(_pool(summaries, found, policy))
+    drawn = over.select("leaf", "g", "cap", "ordinal").groupBy("leaf").applyInPandas(run, "leaf string, ordinal long")  # ordinals only
+    return within.unionByName(drawn)
 
 
 def emit(reads: DataFrame, kept: DataFrame) -> DataFrame:

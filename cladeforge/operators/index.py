@@ -18,11 +18,12 @@ from cladeforge.functions import sequences as S
 from cladeforge.functions import taxonomy as T
 from cladeforge.functions import words as W
 
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 
 
-def records(reads: DataFrame) -> DataFrame:
-    """reads(ordinal, label, seq) with seq normalised, its unknown bytes, words and lineage.
+def records(reads: DataFrame, sketches: bool = False) -> DataFrame:
+    """reads(ordinal, label, seq) with seq normalised, its unknown bytes, words (codes, ascending) and
+    lineage; with ``sketches`` also the sketch of its words.
 
     The words of whole sequences come from NumPy: linear in the sequence and some ten times faster
     than the same as higher-order functions, which the optimizer may also copy into filters, where
@@ -34,11 +35,26 @@ def records(reads: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
                 found = [W.normal(s) for s in part.column("seq").to_pylist()]
-                words = pa.ListArray.from_arrays(*W.vocabularies([s for s, _ in found]))
-                yield pa.RecordBatch.from_arrays([part.column("ordinal"), part.column("label"), pa.array([s.tobytes().decode() for s, _ in found]), pa.array([n for _, n in found], pa.int32()), words], ["ordinal", "label", "seq", "unknown", "words"])
+                words = [W.codes(s) for s, _ in found]
+                columns = [part.column("ordinal"), part.column("label"), pa.array([s.tobytes().decode() for s, _ in found]), pa.array([n for _, n in found], pa.int32()), W.lists(words)]
+                yield pa.RecordBatch.from_arrays([*columns, *([W.lists(list(map(W.sketch, words)))] if sketches else [])], names)
 
+    names = ["ordinal", "label", "seq", "unknown", "words", *(["sketch"] if sketches else [])]
     rows = reads.select(F.col("ordinal").cast("long").alias("ordinal"), "label", F.coalesce("seq", F.lit("")).alias("seq"))
-    return rows.mapInArrow(run, "ordinal long, label string, seq string, unknown int, words array<string>").withColumn("tax", T.parse(F.col("label")))
+    schema = "ordinal long, label string, seq string, unknown int, words array<int>" + (", sketch array<int>" if sketches else "")
+    return rows.mapInArrow(run, schema).withColumn("tax", T.parse(F.col("label")))
+
+
+def reverse_strand(rows: DataFrame) -> DataFrame:
+    """The rows with the words of the other strand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("words")
+            turned = W.reversed_lists(b.column(at))
+            yield b.set_column(at, pa.field("words", turned.type), turned)
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def prefix(lineage: Column, rank: int) -> Column:

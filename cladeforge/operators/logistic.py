@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from cladeforge.functions.sequences import WORD_SPACE, K
 from cladeforge.functions.taxonomy import LEVELS, RANKS
+from cladeforge.operators import rank
+from cladeforge.sources.shared import materialise
 
 #: Fixed value: similarities count from here.
 FLOOR_IDENTITY = 0.7
@@ -73,6 +75,38 @@ def design(hits: DataFrame, won: DataFrame, refs: DataFrame, stats: DataFrame, t
     )
 
 
+def with_outside(counted: DataFrame, won: DataFrame, words: DataFrame, refs: DataFrame, target: int) -> DataFrame:
+    """query, ref_id, similarity, outside: the ``target`` candidates of counted(query, ref_id, count), ties
+    kept, and the winners that are not among them, with outside = 1."""
+    chosen = materialise(rank.select(counted, target).select("query", "ref_id", "count"), "chosen")
+    more = won.select("query", "ref_id").distinct().join(chosen, ["query", "ref_id"], "left_anti").join(counted, ["query", "ref_id"], "left").select("query", "ref_id", F.coalesce("count", F.lit(0)).alias("count"))
+    every = chosen.withColumn("outside", F.lit(0)).unionByName(more.withColumn("outside", F.lit(1)))
+    sized = every.join(words.select("query", F.size("words").alias("own")), "query").join(refs.select("ref_id", "vocabulary"), "ref_id")
+    return similarity(sized).select("query", "ref_id", "similarity", "outside")
+
+
+def along(rows: DataFrame, hits: DataFrame, truth: DataFrame, refs: DataFrame, stats: DataFrame, tree: DataFrame) -> DataFrame:
+    """The rows of the design that lie along truth(query, label, names, nodes), a query's own lineage: those
+    of its named children as ``present``, and, where named children are left that no hit lies under, one row
+    ``absent`` for these. A rank that the query's label leaves blank is walked through without rows, and at
+    the first taxon that the index doesn't know the walk ends."""
+    steps = truth.select("query", "label", "names", F.posexplode("nodes").alias("rank", "target"), "nodes").where("target >= 0")
+    steps = steps.select("query", "label", "rank", "target", F.when(F.col("rank") > 0, F.try_element_at("nodes", F.col("rank"))).otherwise(0).alias("parent"), F.col("names")[F.col("rank")].alias("name")).where("name <> ''")
+    present = rows.join(steps, ["query", "rank", "parent"])
+    number = lambda c, digits: F.format_string(f"%.{digits}f", F.col(c).cast("double"))
+    kids = stats.select(F.col("node_id").alias("parent"), "children")
+    lines = hits.join(refs.select("ref_id", "lineage"), "ref_id").select("query", "similarity", F.posexplode("lineage").alias("rank", "node"))
+    under = lines.groupBy("query", "rank", "node").agg(F.max("similarity").alias("s1")).join(tree.select(F.col("node_id").alias("node"), "parent", "name"), "node")
+    met = under.groupBy("query", "rank", "parent").agg(F.count_if(F.col("name") != "").alias("matched"), F.max(F.when(F.col("name") == "", F.col("s1"))).alias("sentinel"))
+    seen = under.where("name <> ''").select("query", "rank", F.col("node").alias("target"), F.lit(True).alias("resolved"))
+    absent = steps.join(met, ["query", "rank", "parent"]).join(kids, "parent").withColumn("multiplicity", F.col("children") - F.col("matched")).where("multiplicity > 0").join(seen, ["query", "rank", "target"], "left")
+    code = F.substring(F.lit(RANKS), F.col("rank") + 1, F.lit(1)).alias("rank")
+    zero = F.lit("0")
+    one = present.select(F.col("query").alias("at"), F.col("rank").alias("level"), F.lit(0).alias("last"), F.col("seat.outside").alias("outside"), F.col("seat.ref_id").alias("first"), F.col("label").alias("query"), code, F.lit("present").alias("kind"), F.col("node").cast("long"), number("s1", 6).alias("s1"), number("gap", 6).alias("gap"), number("vote", 4).alias("vote"), number("genera", 6).alias("genera"), number("sentinel", 6).alias("sentinel"), F.lit(1).cast("long").alias("multiplicity"), (F.col("node") == F.col("target")).cast("int").alias("truth"))
+    two = absent.withColumn("sentinel", F.coalesce("sentinel", F.lit(0.0))).select(F.col("query").alias("at"), F.col("rank").alias("level"), F.lit(1).alias("last"), F.lit(0).alias("outside"), F.lit(0).alias("first"), F.col("label").alias("query"), code, F.lit("absent").alias("kind"), F.lit(0).cast("long").alias("node"), *(zero.alias(c) for c in ("s1", "gap", "vote", "genera")), number("sentinel", 6).alias("sentinel"), F.col("multiplicity").cast("long"), F.col("resolved").isNull().cast("int").alias("truth"))
+    return one.unionByName(two).orderBy("at", "level", "last", "outside", "first", "node").drop("at", "level", "last", "outside", "first")
+
+
 def softmax(rows: DataFrame, params: dict[str, list[float]]) -> DataFrame:
     """design rows with probability (of the child) and novel (of none of the named children)."""
     beta = F.create_map(*(x for r, v in params.items() for x in (F.lit(RANKS.index(r)), F.array(*map(F.lit, v)))))[F.col("rank")]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladeforge.functions import sequences as S
 from cladeforge.operators import curate, index, rank
 from cladeforge.operators.curate import Policy
 from cladeforge.sources.shared import materialise
@@ -81,10 +82,16 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The survey, written once: plans and selections read it many times, and it is a small share of
     the sequences."""
-    return materialise(curate.survey(reference_records(spark, sf_dir)), "survey")
+    return materialise(curate.survey(index.records(references(spark, sf_dir), sketches=True)), "survey")
 
 
 def digest(words: F.Column) -> F.Column:
-    return F.md5(F.array_join(words, ","))
+    """Of the words as letters."""
+    return F.md5(F.array_join(F.transform(words, lambda w: S.letters(w)), ","))
+
+
+def lettered(rows: DataFrame) -> DataFrame:
+    """rows(word, ...) with the word as letters."""
+    return rows.withColumn("word", S.letters(F.col("word")))
 
 

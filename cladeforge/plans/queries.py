@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cladeforge.functions import sequences as S
 from cladeforge.functions.hashing import SplitMix
-from cladeforge.operators import curate, index, logistic, rank, scoring
+from cladeforge.operators import classify, curate, index, logistic, rank, scoring
 from cladeforge.plans import derived as D
 from cladeforge.plans.derived import CANDIDATES, POLICY
 from cladeforge.sources.shared import materialise
@@ -43,7 +43,7 @@ def reverse_complement(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def revcomp_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return D.reference_records(spark, d).select("ordinal", D.digest(S.reverse_vocabulary(F.col("words"))).alias("words_md5"))
+    return index.reverse_strand(D.reference_records(spark, d).select("ordinal", "words")).select("ordinal", D.digest(F.col("words")).alias("words_md5"))
 
 
 @query
@@ -56,7 +56,7 @@ def parse_taxonomy(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def permute_word(spark: SparkSession, d: str) -> DataFrame:
-    w = D.postings(spark, d).select("word").distinct().withColumn("code", S.word_code(F.col("word")))
+    w = D.lettered(D.postings(spark, d).select("word").distinct()).withColumn("code", S.word_code(F.col("word")))
     return w.select("word", "code", S.permuted(F.col("code")).alias("hash"))
 
 
@@ -92,12 +92,12 @@ def rank_census(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return index.document_frequency(D.postings(spark, d))
+    return D.lettered(index.document_frequency(D.postings(spark, d)))
 
 
 @query
 def taxon_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return index.taxon_frequency(D.postings(spark, d), D.refs(spark, d))
+    return D.lettered(index.taxon_frequency(D.postings(spark, d), D.refs(spark, d)))
 
 
 @query
@@ -108,14 +108,29 @@ def node_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def word_weights(spark: SparkSession, d: str) -> DataFrame:
-    return index.word_weights(index.document_frequency(D.postings(spark, d)).withColumnRenamed("df", "n"))
+    return D.lettered(index.word_weights(index.document_frequency(D.postings(spark, d)).withColumnRenamed("df", "n")))
 
 
 @query
 def index_verify(spark: SparkSession, d: str) -> DataFrame:
+    """Mismatches of an index from which known rows were taken: the postings and statistics of every
+    word of the second smallest reference, one vocabulary and one node's statistics are wrong."""
     reads = D.references(spark, d)
     good = index.records(reads).where("tax.error is null").select("ordinal")
-    return index.verify(index.build(reads.join(good, "ordinal", "left_semi")))
+    built = index.build(reads.join(good, "ordinal", "left_semi"))
+    refs = materialise(built.refs, "references")
+    low = refs.agg(F.min_by("ref_id", F.struct("vocabulary", "ref_id")).alias("ref_id"))
+    low = refs.join(low, "ref_id", "left_anti").agg(F.min_by("ref_id", F.struct("vocabulary", "ref_id")).alias("ref_id"))
+    hit = materialise(refs.join(low, "ref_id").select("ref_id", F.explode("words").alias("word")), "hit")
+    damaged = index.Index(
+        built.nodes,
+        refs.join(F.broadcast(low.withColumn("off", F.lit(1))), "ref_id", "left").withColumn("vocabulary", F.col("vocabulary") + F.coalesce("off", F.lit(0))).drop("off"),  # one row
+        built.postings.join(hit, ["word", "ref_id"], "left_anti"),
+        built.word_stats.join(hit, "word", "left_anti"),
+        built.node_stats.where("node_id <> 0"),
+        built.meta,
+    )
+    return index.verify(damaged)
 
 
 # -- rank -------------------------------------------------------------------------------------
@@ -170,34 +185,48 @@ def splitmix_bounded(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(_bounded_draws(), "seed long, bound long, value long")
 
 
-def _candidates(spark, d):
-    return materialise(rank.select(D.counts(spark, d), CANDIDATES), "candidates")
+#: The engine's defaults, with the stream hash that SQL has as well.
+CONFIG = classify.Config(hash="sha256")
 
 
-def _scores(spark, d):
-    post = D.postings(spark, d)
-    weights = index.word_weights(index.document_frequency(post).withColumnRenamed("df", "n"))
-    return materialise(scoring.scores(scoring.draws(D.query_records(spark, d)), post, weights, _candidates(spark, d)), "scores")
+def _weights(spark, d):
+    return index.word_weights(index.document_frequency(D.postings(spark, d)).withColumnRenamed("df", "n"))
 
 
 @query
 def bootstrap_draws(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.draws(D.query_records(spark, d))
+    return D.lettered(scoring.draws(D.query_records(spark, d), hash="sha256"))
 
 
 @query
 def replicate_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _scores(spark, d)
+    """Exact weighted scores, summed up for each replicate: references that score, their sum, the
+    largest, and a sum in which each reference's score counts differently."""
+    scored = scoring.scores(scoring.draws(D.query_records(spark, d), hash="sha256"), D.postings(spark, d), _weights(spark, d))
+    return scoring.unpacked(scored).groupBy("query", "boot").agg(F.count("*").alias("refs"), F.sum("score").alias("total"), F.max("score").alias("most"), F.sum(F.col("score") * (F.col("ref_id") % 1009)).alias("mixed"))
+
+
+@query
+def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of each query's candidates, summed up like those of all references."""
+    few = rank.select(D.counts(spark, d), CANDIDATES)
+    scored = scoring.scores(scoring.draws(D.query_records(spark, d), hash="sha256"), D.postings(spark, d), None, few)
+    return scoring.unpacked(scored).groupBy("query", "ref_id").agg(F.count("*").alias("boots"), F.sum("score").alias("total"), F.sum(F.col("score") * F.col("boot")).alias("mixed"))
+
+
+def _tops(spark, d):
+    post = D.postings(spark, d)
+    return classify.tops(D.query_records(spark, d).select("query", "seq", "words"), post, D.parsed(spark, d).count(), CONFIG)
 
 
 @query
 def replicate_tops(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.tops(_scores(spark, d)).select("query", "boot", "score", F.array_join("ties", ",").alias("ties"))
+    return _tops(spark, d).select("query", "boot", "score", F.array_join("ties", ",").alias("ties"))
 
 
 @query
 def tie_pick(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.picks(scoring.tops(_scores(spark, d)), D.query_records(spark, d))
+    return materialise(scoring.picks(_tops(spark, d), D.query_records(spark, d), hash="sha256"), "winners")
 
 
 def _names(spark, d):
@@ -209,6 +238,11 @@ def consensus_calls(spark: SparkSession, d: str) -> DataFrame:
     return materialise(scoring.consensus(tie_pick(spark, d), _names(spark, d)), "calls")
 
 
+@query
+def consensus_tallies(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.tallies(tie_pick(spark, d), _names(spark, d))
+
+
 @query
 def confidence_adjusted(spark: SparkSession, d: str) -> DataFrame:
     return scoring.support(consensus_calls(spark, d)).select("query", "rank", F.round("confidence", 6).alias("confidence"))
@@ -216,7 +250,19 @@ def confidence_adjusted(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def prediction_tsv(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.predictions(D.query_records(spark, d), scoring.support(consensus_calls(spark, d)))
+    return scoring.predictions(D.query_records(spark, d), scoring.support(consensus_calls(spark, d), adjusted=False))
+
+
+@query
+def minimum_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """Records with too few words to draw from."""
+    return D.reference_records(spark, d).where(F.size("words") < scoring.SAMPLE_SIZE).select("ordinal", F.size("words").alias("words"))
+
+
+@query
+def reference_lineages(spark: SparkSession, d: str) -> DataFrame:
+    """The seven nodes above each reference."""
+    return D.refs(spark, d).select("ref_id", "leaf", F.array_join("lineage", ",").alias("lineage"))
 
 
 @query
@@ -224,9 +270,9 @@ def best_strand(spark: SparkSession, d: str) -> DataFrame:
     """Of both strands' best candidate counts, the strand that is taken."""
     q = D.query_records(spark, d)
     post = D.postings(spark, d)
-    out = None
-    for strand, words in ((0, F.col("words")), (1, S.reverse_vocabulary(F.col("words")))):
-        c = rank.counts(q.select("query", words.alias("words")), post)
+    out, forward = None, q.select("query", "words")
+    for strand, words in ((0, forward), (1, index.reverse_strand(forward))):
+        c = rank.counts(words, post)
         side = c.groupBy("query").agg(F.max("count").alias("max"), F.count_if(F.col("count") >= 32).alias("winners")).withColumn("strand", F.lit(strand))
         out = side if out is None else out.unionByName(side)
     return scoring.best_strand(out)
@@ -235,10 +281,15 @@ def best_strand(spark: SparkSession, d: str) -> DataFrame:
 # -- logistic scorer --------------------------------------------------------------------------
 
 
-def _hits(spark, d):
-    q = D.query_records(spark, d).select("query", F.size("words").alias("own"))
-    r = D.parsed(spark, d).select(F.col("ordinal").alias("ref_id"), F.size("words").alias("vocabulary"))
-    return logistic.similarity(_candidates(spark, d).join(q, "query").join(r, "ref_id"))
+def _sized(spark, d):
+    return D.parsed(spark, d).select(F.col("ordinal").alias("ref_id"), F.size("words").alias("vocabulary"))
+
+
+def _hits(spark, d, won=None):
+    """Similarities of the candidates, and of the winners that are not among them."""
+    words = D.query_records(spark, d).select("query", "words")
+    won = won if won is not None else words.select("query", F.lit(None).cast("long").alias("ref_id")).where(F.lit(False))
+    return logistic.with_outside(materialise(D.counts(spark, d), "counts"), won, words, _sized(spark, d), CONFIG.candidates)
 
 
 @query
@@ -246,6 +297,14 @@ def protax_similarity(spark: SparkSession, d: str) -> DataFrame:
     return _hits(spark, d).select("query", "ref_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query
+def outside_winners(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates, few of them, and the replicate winners outside."""
+    words = D.query_records(spark, d).select("query", "words")
+    found = logistic.with_outside(materialise(D.counts(spark, d), "counts"), tie_pick(spark, d), words, _sized(spark, d), 3)
+    return found.select("query", "ref_id", F.round("similarity", 6).alias("similarity"), "outside")
+
+
 @query
 def protax_gap(spark: SparkSession, d: str) -> DataFrame:
     """The gap between the two best candidates of each query, over all its candidates."""
@@ -255,42 +314,42 @@ def protax_gap(spark: SparkSession, d: str) -> DataFrame:
     return pair.select("query", F.round(logistic.gap(F.col("a"), F.col("b"), F.col("n"), F.col("n")), 6).alias("gap"))
 
 
-def _winners(spark, d):
-    """The best candidate of each query, as a stand-in for replicate winners that needs no draws."""
-    own = Window.partitionBy("query").orderBy(F.desc("count"), "ref_id")
-    return _candidates(spark, d).withColumn("place", F.row_number().over(own)).where("place <= 3").select("query", "ref_id")
-
-
 def _design(spark, d):
+    """The design of queries with enough winners, and what it is made of: hits, references, nodes."""
     tree, refs = _taxonomy(spark, d)
-    return logistic.design(_hits(spark, d).select("query", "ref_id", "similarity"), _winners(spark, d), refs, index.node_stats(tree, refs), tree)
+    won = tie_pick(spark, d)
+    won = materialise(won.withColumn("n", F.count("*").over(Window.partitionBy("query"))).where(F.col("n") >= scoring.BOOTSTRAPS // 2).drop("n"), "enough")
+    hits = materialise(_hits(spark, d, won).join(won.select("query").distinct(), "query", "left_semi"), "hits")
+    stats = materialise(index.node_stats(tree, refs), "node_stats")
+    return materialise(logistic.design(hits, won, refs, stats, tree), "design"), hits, refs, tree, stats
 
 
 @query
 def protax_design(spark: SparkSession, d: str) -> DataFrame:
     r = lambda c: F.round(c, 6).alias(c)
-    return _design(spark, d).select("query", "rank", "parent", "node", r("s1"), r("gap"), r("vote"), r("genera"), r("sentinel"), "absent")
+    return _design(spark, d)[0].select("query", "rank", "parent", "node", r("s1"), r("gap"), r("vote"), r("genera"), r("sentinel"), "absent")
 
 
 @query
 def protax_softmax(spark: SparkSession, d: str) -> DataFrame:
-    p = logistic.softmax(_design(spark, d), PARAMS)
+    p = logistic.softmax(_design(spark, d)[0], PARAMS)
     return p.select("query", "rank", "node", F.round("probability", 6).alias("probability"), F.round("novel", 6).alias("novel"))
 
 
 @query
 def protax_resolve(spark: SparkSession, d: str) -> DataFrame:
-    tree, refs = _taxonomy(spark, d)
-    steps = logistic.resolve(logistic.softmax(_design(spark, d), PARAMS), logistic.unnamed(_hits(spark, d), refs, tree))
+    rows, hits, refs, tree, _ = _design(spark, d)
+    steps = logistic.resolve(logistic.softmax(rows, PARAMS), logistic.unnamed(hits, refs, tree))
     return steps.select("query", "rank", "node", F.round("probability", 6).alias("probability"), F.round("novel", 6).alias("novel"))
 
 
 @query
 def training_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Design rows along each query's own lineage, with whether the row is the true child."""
-    located = index.locate(D.query_records(spark, d).select("query", F.col("tax.lineage").alias("lineage")), D.tree(spark, d))
-    truth = located.select("query", F.posexplode("nodes").alias("rank", "truth"), "nodes").withColumn("parent", F.when(F.col("rank") > 0, F.try_element_at("nodes", F.col("rank"))).otherwise(0)).where("truth >= 0").select("query", "rank", "parent", "truth")
-    return protax_design(spark, d).join(truth, ["query", "rank", "parent"]).withColumn("is_true", F.col("node") == F.col("truth")).drop("truth")
+    """The feature table along each query's own lineage."""
+    rows, hits, refs, tree, stats = _design(spark, d)
+    q = D.query_records(spark, d)
+    located = index.locate(q.select("query", F.col("tax.lineage").alias("lineage")), tree)
+    return logistic.along(rows, hits, located.join(q.select("query", "label", F.col("tax.lineage").alias("names")), "query"), refs, stats, tree)
 
 
 # -- curation ---------------------------------------------------------------------------------
@@ -345,7 +404,7 @@ def occupancy_domains(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def truncation_artifact(spark: SparkSession, d: str) -> DataFrame:
-    return curate.truncation_artifact(D.summaries(spark, d), least=1)
+    return curate.truncation_artifact(D.summaries(spark, d))
 
 
 @query

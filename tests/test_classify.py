@@ -42,6 +42,6 @@ def test_candidates_agree_with_exact(spark, tmp_path):
     assert {k: few[k] for k in range(5)} == {k: exact[k] for k in range(5)}
     assert {k: v for k, v in genus(candidates=8, risk=1e-9).items() if k < 4} == {k: v for k, v in exact.items() if k < 4}
     assert set(genus(candidates=8, weights="genus")) >= {0, 1, 2, 3}
-    hidden = classify.tops(q, ix, classify.Config(candidates=8), hide=lambda c: c.where("ref_id % 10 <> 0"))
+    hidden = classify.tops(q, ix.postings, 60, classify.Config(candidates=8), hide=lambda c: c.where("ref_id % 10 <> 0"))
     assert all(t % 10 for r in hidden.where("query = 0").collect() for t in r.ties)
     assert rank.select(rank.counts(q, ix.postings), 3).count() > 0

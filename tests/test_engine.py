@@ -32,17 +32,24 @@ def test_words_and_normal_forms(spark):
     rows = [(0, "acguACGUacgt"), (1, "ACGTNACGTACGTA"), (2, "AC-x.éÉACGTACGT"), (3, ""), (4, "ACGTACG"), (5, None), (6, "RYSWKMBDHVN")]
     frame = spark.createDataFrame(rows, "ordinal long, seq string")
     c = F.col("seq")
-    got = frame.select("ordinal", sequences.normalize(c).alias("s"), sequences.unknown(c).alias("u"), sequences.vocabulary(sequences.normalize(c)).alias("w")).collect()
+    got = frame.select("ordinal", sequences.normalize(c).alias("s"), sequences.unknown(c).alias("u"), sequences.vocabulary(sequences.normalize(c)).alias("w"), sequences.sketch(sequences.vocabulary(sequences.normalize(c))).alias("k")).collect()
     for r, (_, seq) in zip(got, rows, strict=True):
         if seq is None:
             continue
         s, u = words.normal(seq)
         assert (r.s, r.u) == (s.tobytes().decode(), u)
         plain = sorted({r.s[i : i + 8] for i in range(len(r.s) - 7) if set(r.s[i : i + 8]) <= set("ACGT")})
-        assert r.w == plain and words.vocabularies([s])[1].to_pylist() == plain
+        code = lambda w: sum("ACGT".index(c) << 14 - 2 * i for i, c in enumerate(w))
+        own = words.codes(s)
+        assert r.w == plain and own.tolist() == [code(w) for w in plain]
+        assert words.sketch(own).tolist() == sorted(words.PERMUTED[own].tolist())[:32] == r.k
+        turned = words.reversed_lists(words.lists([own, own]).slice(1)).to_pylist()
+        assert turned == [sorted(code(w[::-1].translate(str.maketrans("ACGT", "TGCA"))) for w in plain)]
     assert got[2].s == "ACNNNNNNNACGTACGT" and got[2].u == 7
     one = spark.range(1).select(sequences.reverse_complement(F.lit("AACGRY")).alias("a")).first()
     assert one.a == "RYCGTT"
+    assert [r.w for r in spark.createDataFrame([(0,), (1,), (65535,)], "c int").select(sequences.letters(F.col("c")).alias("w")).collect()] == ["AAAAAAAA", "AAAAAAAC", "TTTTTTTT"]
+    assert len(set(words.PERMUTED.tolist())) == 65536
 
 
 @pytest.mark.parametrize(
@@ -170,9 +177,9 @@ def test_softmax_and_params():
 def test_curation_keeps_lineages_and_caps(spark):
     frame, rows = reads(spark, 60)
     extra = [(60, "x;tax=d:_plastid,g:Z", "ACGTACGTAC"), (61, rows[0][1], rows[0][2]), (62, "bad label", "ACGT")]
-    s = curate.survey(index.records(frame.unionByName(spark.createDataFrame(extra, frame.schema))))
+    s = curate.survey(index.records(frame.unionByName(spark.createDataFrame(extra, frame.schema)), sketches=True))
     s = s.cache()
-    g = curate.groups(s)
+    g = curate.groups(s).cache()
     policy = curate.Policy(cap=2, shallow_covered=1, shallow_orphan=1, shallow_unplaced=1)
     everything = {r.ordinal: r for r in s.collect()}
     assert 62 not in everything and everything[60].organellar
@@ -234,3 +241,86 @@ def test_rank_holdouts(spark):
     assert left == {(a, b) for a in plain for b in plain if plain[a] & plain[b] and plain[a] != plain[b]}
     hist = rank.histogram(counted, vocab, 16).groupBy("query").agg(F.sum("refs").alias("n")).collect()
     assert all(r.n == 16 for r in hist)
+
+
+def test_sha_streams_and_packed_scores(spark):
+    """The second stream hash, and scores of candidates against plain sums."""
+    import hashlib
+
+    own = hashlib.sha256(b"query:1:7:ACGT").hexdigest()
+    seeds = scoring.stream_seeds("ACGT", 7, 1, 0, hash="sha256")
+    assert int(seeds[42]) == int(hashlib.sha256(f"{own}:1:0:42".encode()).hexdigest()[:16], 16)
+    frame, _ = reads(spark, 16)
+    recs = index.records(frame)
+    plain = {r.ordinal: set(r.words) for r in recs.collect()}
+    post = recs.select(F.explode("words").alias("word"), F.col("ordinal").alias("ref_id"))
+    q = recs.withColumnRenamed("ordinal", "query").where("query in (0, 5)")
+    weights = post.select("word").distinct().withColumn("weight", F.when(F.col("word") % 3 == 0, 4).otherwise(1))
+    few = spark.createDataFrame([(0, 0), (0, 8), (5, 13)], "query long, ref_id long")
+    drawn = {}
+    for r in scoring.draws(q, hash="sha256").collect():
+        drawn.setdefault((r.query, r.boot), []).append((r.word, r.mult))
+    got = {(r.query, r.boot, r.ref_id): r.score for r in scoring.unpacked(scoring.scores(scoring.draws(q, hash="sha256"), post, weights, few)).collect()}
+    want = {(a, boot, b): n for a, b in ((0, 0), (0, 8), (5, 13)) for boot in range(100) if (n := sum(m * (4 if w % 3 == 0 else 1) for w, m in drawn[a, boot] if w in plain[b]))}
+    assert got == want and max(got.values()) > 64
+
+
+def test_stdin_and_several_files(spark, tmp_path, monkeypatch):
+    import io
+    import sys
+    from types import SimpleNamespace
+
+    from cladeforge.__main__ import _read
+
+    (tmp_path / "x.fa").write_text(">a\nAC\n>b\nGT\n")
+    (tmp_path / "y.fa").write_text(">c\nTT\n")
+    got = sorted((r.ordinal, r.label, r.seq) for r in _read(spark, f"{tmp_path}/x.fa,{tmp_path}/y.fa").collect())
+    assert got == [(0, "a", "AC"), (1, "b", "GT"), (2, "c", "TT")]
+    monkeypatch.setattr(sys, "stdin", SimpleNamespace(buffer=io.BytesIO(b">z\nACGT\n")))
+    assert [(r.ordinal, r.label, r.seq) for r in _read(spark, "-").collect()] == [(0, "z", "ACGT")]
+    uri = f"file://{tmp_path}/x.fa"
+    assert spark.read.format("fastx").load(uri).count() == 2
+
+
+def test_sketch_similarity_by_rows():
+    rng = np.random.default_rng(4)
+    own = [np.unique(rng.integers(0, 90, n)) for n in (0, 1, 5, 32, 32, 20)]
+    own = [s[:32] for s in own]
+    rows = curate.padded(own)
+    for a in own:
+        got = curate.alike(curate.padded([a])[0], rows)
+        for g, b in zip(got, own, strict=True):
+            union = sorted(set(a.tolist()) | set(b.tolist()))[:32]
+            both = sum(x in a and x in b for x in union)
+            assert g == np.float32(both) / np.float32(max(1, len(union)))
+
+
+def test_maxmin_against_plain_python(spark):
+    """Greedy farthest points, one at a time, by the stated order of choice."""
+    frame, _ = reads(spark, 60)
+    s = curate.survey(index.records(frame, sketches=True)).cache()
+    g, policy = curate.groups(s).cache(), curate.Policy(cap=3, demote_length=299)
+    rows, pool = {}, curate.eligible(s, g, policy)[0].cache()
+    density = {r.ordinal: r.density for r in curate.lsh_density(pool).collect()}
+    median = {r.leaf: r.median for r in curate.median_words(pool).collect()}
+    for r in pool.collect():
+        rows.setdefault(r.leaf, []).append(r)
+
+    def near(a, b):
+        u = sorted(set(a) | set(b))[:32]
+        return np.float32(sum(x in a and x in b for x in u)) / np.float32(max(1, len(u)))
+
+    want = set()
+    for leaf, own in rows.items():
+        if len(own) <= own[0].cap:
+            want |= {r.ordinal for r in own}
+            continue
+        order = sorted(own, key=lambda r: (r.length > 299, r.ambiguous, abs(r.words - median[leaf]), r.ordinal))
+        left, chosen = list(order), []
+        while len(chosen) < own[0].cap and left:
+            far = lambda r: min([np.float32(0.95), *(np.float32(1) - near(c.sketch, r.sketch) for c in chosen)]) if chosen else 0  # noqa: E731, B023
+            now = max(left, key=lambda r: (r.length <= 299, far(r), density[r.ordinal], -order.index(r)))  # noqa: B023
+            chosen.append(now)
+            left.remove(now)
+        want |= {r.ordinal for r in chosen}
+    assert {r.ordinal for r in curate.select_maxmin(s, g, policy).collect()} == want
