@@ -88,6 +88,31 @@ def _softplus(z: np.ndarray) -> float:
     return float(np.logaddexp(0, z).mean())
 
 
+def risk(parts: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The risk's two terms: of positives, and of unlabelled rows as negatives less the positives' share."""
+    gp, gu = (np.tanh(x @ parts[0] + parts[1]) @ parts[2] + parts[3] for x in (p, u))
+    return prior * _softplus(-gp), _softplus(gu) - prior * _softplus(gp)
+
+
+def gradient(parts: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float | None) -> list[np.ndarray]:
+    """Of the non-negative risk: where its second term is below zero, that term's gradient alone, reversed.
+    Without a prior, of plain positive against unlabelled."""
+    hp, hu = np.tanh(p @ parts[0] + parts[1]), np.tanh(u @ parts[0] + parts[1])
+    gp, gu = hp @ parts[2] + parts[3], hu @ parts[2] + parts[3]
+    if prior is None:
+        dp, du = -_softplus_gradient(-gp) / len(p), _softplus_gradient(gu) / len(u)
+    else:
+        sign = 1.0 if _softplus(gu) - prior * _softplus(gp) >= 0 else -1.0
+        dp = -prior * _softplus_gradient(-gp) / len(p) * (sign > 0) - sign * prior * _softplus_gradient(gp) / len(p)
+        du = sign * _softplus_gradient(gu) / len(u)
+    grads = [np.zeros_like(w) for w in parts]
+    for x, h, d in ((p, hp, dp), (u, hu, du)):
+        back = d[:, None] * parts[2] * (1 - h * h)
+        for g, more in zip(grads, (x.T @ back, back.sum(axis=0), h.T @ d, d.sum(keepdims=True)), strict=True):
+            g += more
+    return grads
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = 5) -> Network:
     """Minimises the non-negative risk; without a prior, plain positive against unlabelled."""
     rng = np.random.default_rng(seed)
@@ -96,21 +121,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed:
     p, u = (np.clip((x - net.mean) / net.scale, -8, 8) for x in (positive, unlabelled))
     first, second = [np.zeros_like(w) for w in net.parts], [np.zeros_like(w) for w in net.parts]
     for step in range(1, STEPS + 1):
-        hp, hu = np.tanh(p @ net.parts[0] + net.parts[1]), np.tanh(u @ net.parts[0] + net.parts[1])
-        gp, gu = hp @ net.parts[2] + net.parts[3], hu @ net.parts[2] + net.parts[3]
-        if prior is None:
-            dp, du = -_softplus_gradient(-gp) / len(p), _softplus_gradient(gu) / len(u)
-        else:
-            rest = _softplus(gu) - prior * _softplus(gp)
-            sign = 1.0 if rest >= 0 else -1.0
-            dp = -prior * _softplus_gradient(-gp) / len(p) * (sign > 0) - sign * prior * _softplus_gradient(gp) / len(p)
-            du = sign * _softplus_gradient(gu) / len(u)
-        grads = [np.zeros_like(w) for w in net.parts]
-        for x, h, d in ((p, hp, dp), (u, hu, du)):
-            back = d[:, None] * net.parts[2] * (1 - h * h)
-            for g, more in zip(grads, (x.T @ back, back.sum(axis=0), h.T @ d, d.sum(keepdims=True)), strict=True):
-                g += more
-        for i, g in enumerate(grads):
+        for i, g in enumerate(gradient(net.parts, p, u, prior)):
             g += DECAY * net.parts[i]
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g
@@ -141,7 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
             x = [features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("positive"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "positive", "x"])
 
-    rows = texts(docs).join(ids, "doc_id").mapInArrow(run, "doc_id long, positive int, x binary").collect()
+    # a row an id and set, however often an id is used
+    some = texts(docs).join(ids, "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
+    rows = some.mapInArrow(run, "doc_id long, positive int, x binary").collect()
     rows.sort(key=lambda r: (r.positive, r.doc_id if r.doc_id is not None else -1, r.x))
     p, u = (np.array([np.frombuffer(r.x) for r in rows if r.positive == k]).reshape(-1, FEATURES) for k in (1, 0))
     if not len(p) or not len(u):
