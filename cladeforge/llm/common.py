@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -27,11 +29,20 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def release() -> None:
+    """Gives memory that is free back to the system: workers live on, and an executor's memory is that of
+    all its workers."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library: nothing to do
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of a few rows, so that long texts don't pile up as Python objects."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    release()
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], chars: int = 1 << 23, column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -43,6 +54,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], chars: int = 1 << 23, column:
             to = max(at + 1, int(np.searchsorted(total, total[at] - sizes[at] + chars, "right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeforge.llm import labelled
-from cladeforge.llm.common import slices, texts
+from cladeforge.llm.common import materialise, slices, texts
 
 SAMPLE, STEMS = 24_000, 20_000
 EVIDENCE, PRECISION, SPREAD = 3, 0.9, 1.2
@@ -60,7 +60,7 @@ ODDS, BACKING, FORM = 1.5, 2.0, 0.7
 THRESHOLD = 0.3
 REACH = 3
 PREFIXES = (4, 5, 6)
-MEMO_WORDS = 300_000
+MEMO_WORDS, HELD_STEMS = 150_000, 100_000
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = range(7)
 WORDS = {
@@ -231,29 +231,37 @@ def stems_of(word: str) -> list[str]:
 def learn_stems(sample: DataFrame) -> dict[str, float]:
     """Stems and weights from sample(text, toxic)."""
 
+    def rows_of(clean: Counter[str], toxic: list[tuple[str, int]]) -> pa.RecordBatch:
+        stems = [*(s for s, _ in toxic), *clean]
+        around = [*(a for _, a in toxic), *[0] * len(clean)]
+        return pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array(around, pa.int64()), pa.array([1] * len(toxic) + [0] * len(clean), pa.int64()), pa.array([0] * len(toxic) + list(clean.values()), pa.int64())], ["stem", "around", "toxic", "clean"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            clean: Counter[str] = Counter()
-            rows: list[tuple[str, int, int, int]] = []
-            for part in slices([b]):
-                for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
-                    words = [w.casefold() for w in _WORD.findall(text)]
-                    if not toxic:
-                        clean.update({s for w in set(words) for s in stems_of(w)})
-                        clean[""] += 1
-                        continue
+        clean: Counter[str] = Counter()
+        toxic_rows: list[tuple[str, int]] = []
+        for part in slices(batches):
+            for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
+                words = [w.casefold() for w in _WORD.findall(text)]
+                if not toxic:
+                    clean.update({s for w in set(words) for s in stems_of(w)})
+                    clean[""] += 1
+                else:
                     first: dict[str, int] = {}
                     for i, w in enumerate(words):
                         for s in stems_of(w):
                             first.setdefault(s, i)
-                    rows += [(s, xxhash.xxh64_intdigest(" ".join(words[max(0, i - 2) : i] + ["|"] + words[i + 1 : i + 3]).encode()) >> 1, 1, 0) for s, i in first.items()]
-                    rows.append(("", 0, 1, 0))
-            rows += [(s, 0, 0, n) for s, n in clean.items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["stem", "around", "toxic", "clean"])
+                    toxic_rows += [(s, xxhash.xxh64_intdigest(" ".join(words[max(0, i - 2) : i] + ["|"] + words[i + 1 : i + 3]).encode()) >> 1) for s, i in first.items()]
+                    toxic_rows.append(("", 0))
+                if len(clean) + len(toxic_rows) >= HELD_STEMS:
+                    yield rows_of(clean, toxic_rows)
+                    clean.clear()
+                    toxic_rows.clear()
+        if clean or toxic_rows:
+            yield rows_of(clean, toxic_rows)
 
     met = sample.select("text", "toxic").mapInArrow(run, "stem string, around long, toxic long, clean long").groupBy("stem", "around").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = met.groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), F.count_if(F.col("toxic") > 0).alias("evidence"))
+    counts = materialise(counts.where("t > 0"), "stems")  # read several times
     size = counts.where("stem = ''").collect()
     if not size or not size[0].t:
         return {}
@@ -295,7 +303,9 @@ def fit_curve(totals: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, count: int = SAMPLE) -> Scorer:
     ids = labelled.training_ids(labels.where("toxic is not null"), count, "toxic")
     one = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = texts(docs).join(F.broadcast(one), "doc_id")  # at most ``count`` rows
+    met = texts(docs).join(F.broadcast(one), "doc_id")  # at most ``count`` ids
+    # a row an id, however often it is used; written once, as it is read twice
+    sample = materialise(met.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "sample")
     stems = learn_stems(sample)
     if not stems:
         return Scorer({})
