@@ -12,7 +12,9 @@ pairs come from the perfect hash as well.
 A bounded memo of resolved pre-tokens stands before both, as most pre-tokens repeat; when full it
 becomes the old one, from which pre-tokens still in use move to the next.
 
-Edge cases: null text is empty: no ids, digests of the empty string. Repeated rows give a row each.
+Edge cases: null text is empty: no ids, digests of the empty string. Repeated rows give a row each, null
+doc_ids are kept. A text of any length is encoded whole. Other columns are ignored. An empty table gives
+no rows.
 """
 
 from __future__ import annotations

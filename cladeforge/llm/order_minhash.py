@@ -13,7 +13,8 @@ leaves a dozen a text are looked at. A text where that leaves too few is redone
 Edge cases: a null text is empty; a text shorter than k is padded with U+0000 to one k-mer, so
 empty texts are alike; a text with fewer elements than ``smallest`` gives shorter tuples. Texts are
 ordered by (doc_id, text): repeated doc_ids have one row each, and null doc_ids come first. A single
-document is its own next one. An empty table gives an empty result.
+document is its own next one. A text of any length is read whole. Other columns are ignored. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
