@@ -118,16 +118,18 @@ def index_verify(spark: SparkSession, d: str) -> DataFrame:
     reads = D.references(spark, d)
     good = index.records(reads).where("tax.error is null").select("ordinal")
     built = index.build(reads.join(good, "ordinal", "left_semi"))
-    refs = materialise(built.refs, "references")
+    tree, refs = materialise(built.nodes, "nodes"), materialise(built.refs, "references")
+    post = index.postings(refs)
+    stats = index.document_frequency(post).join(index.taxon_frequency(post, refs), "word")
     low = refs.agg(F.min_by("ref_id", F.struct("vocabulary", "ref_id")).alias("ref_id"))
     low = refs.join(low, "ref_id", "left_anti").agg(F.min_by("ref_id", F.struct("vocabulary", "ref_id")).alias("ref_id"))
     hit = materialise(refs.join(low, "ref_id").select("ref_id", F.explode("words").alias("word")), "hit")
     damaged = index.Index(
-        built.nodes,
+        tree,
         refs.join(F.broadcast(low.withColumn("off", F.lit(1))), "ref_id", "left").withColumn("vocabulary", F.col("vocabulary") + F.coalesce("off", F.lit(0))).drop("off"),  # one row
-        built.postings.join(hit, ["word", "ref_id"], "left_anti"),
-        built.word_stats.join(hit, "word", "left_anti"),
-        built.node_stats.where("node_id <> 0"),
+        post.join(hit, ["word", "ref_id"], "left_anti"),
+        stats.join(hit, "word", "left_anti"),
+        index.node_stats(tree, refs).where("node_id <> 0"),
         built.meta,
     )
     return index.verify(damaged)
