@@ -17,11 +17,14 @@ vectors' lengths there (Cauchy-Schwarz).
 How much the cutoff saves depends on the vectors: much where a few dimensions hold most energy, little where
 energy is even (see the README for measured shares).
 
-Physically the vectors are packed into blocks of at most BLOCK_ROWS rows and queries into blocks of
-at most QUERY_ROWS (fewer rows where vectors are long: BLOCK_BYTES); each block of vectors meets each
-block of queries by an equi-join on the block's number, and a pair of blocks is a few matrix products.
-Cutoffs travel with their query block. Memory is that of a few pairs of blocks; nothing is broadcast or
-gathered on the driver but the number of rows and the energy of the dimensions.
+Physically the vectors are packed, in the narrowest integers that hold all components, into blocks of
+about as many rows as there are queries (BLOCK_ROWS at least, BLOCK_BYTES at most) and queries into blocks of
+at most QUERY_ROWS; each block of vectors meets each block of queries by an equi-join on the block's
+number, so what queries move is about what the table moves. A pair of blocks is a few matrix products of
+STEP_ROWS by CHUNK rows. Cutoffs are joined to their query block before it is copied to the blocks of vectors.
+Memory is that of a few pairs of blocks. The joins are merge joins by hint: Spark takes a query block's size from its
+compressed file and doesn't count the copies, so it would broadcast them, through the driver, far beyond its threshold.
+Nothing is broadcast or gathered on the driver but the number of rows, their range and the energy of the dimensions.
 
 Edge cases: rows with null id, null vector, null or non-finite components take no part. Vectors of
 another length are read as if zeros followed. Repeated rows are candidates each; a query given twice
@@ -40,10 +43,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeforge.llm.common import materialise
+from cladeforge.llm.common import materialise, slices
 
 K, EVERY, LISTS, GATHERED = 5, 50, 4, 20
-BLOCK_ROWS, QUERY_ROWS, BLOCK_BYTES, CHUNK = 8_192, 512, 1 << 25, 64
+BLOCK_ROWS, QUERY_ROWS, BLOCK_BYTES, STEP_ROWS, CHUNK = 8_192, 1 << 16, 1 << 24, 8_192, 64
 SCALE = 256
 _LOW = np.iinfo(np.int64).min + 1  # so that it can be negated
 
@@ -55,28 +58,37 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select("vec_id", F.transform("embedding", lambda x: F.floor(x * SCALE)).alias("v"))
 
 
-def blocks(rows: DataFrame, count: int, name: str, wide: int) -> DataFrame:
+def blocks(rows: DataFrame, count: int, name: str, wide: int, kind: np.dtype) -> DataFrame:
     """rows(vec_id, v) dealt by a hash of id and vector into ``count`` blocks, each packed as
-    ids (binary), v (binary, wide columns), energy (of each column)."""
+    ids (binary), v (binary of ``kind``, wide columns), energy (of each column)."""
+    fit = max(1, BLOCK_BYTES // (8 * max(1, wide)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for b in batches:
+        held = []
+        for b in slices(batches, fit):
             column = b.column("v")
-            for k, i, v in zip(b.column("k").to_pylist(), b.column("vec_id").to_pylist(), column, strict=True):
-                held.setdefault(k, []).append((i, v.values.to_numpy()))
-        for k, some in held.items():
-            some.sort(key=lambda r: r[0])
-            m = np.zeros((len(some), wide), np.int64)
-            for i, (_, v) in enumerate(some):
-                m[i, : len(v)] = v
-            energy = (m.astype(np.float64) ** 2).sum(axis=0)
-            yield pa.RecordBatch.from_pydict({name: pa.array([k], pa.int32()), "ids": pa.array([np.array([i for i, _ in some], np.int64).tobytes()]), "v": pa.array([m.tobytes()]), "energy": pa.array([energy.tolist()], pa.list_(pa.float64()))})
+            ends = column.offsets.to_numpy().astype(np.int64)
+            m = np.zeros((b.num_rows, wide), kind)
+            m[np.arange(wide)[None, :] < np.diff(ends)[:, None]] = column.values.to_numpy()[ends[0] : ends[-1]]
+            held.append((b.column("k").to_numpy(), b.column("vec_id").to_numpy(), m))
+        for k in np.unique(np.concatenate([np.empty(0, np.int32), *(h[0] for h in held)])):
+            ids = np.concatenate([i[own == k] for own, i, _ in held])
+            order = np.argsort(ids, kind="stable")
+            m = np.concatenate([m[own == k] for own, _, m in held])[order]
+            energy = np.zeros(wide)
+            for at in range(0, len(m), fit):
+                energy += (m[at : at + fit].astype(np.float64) ** 2).sum(axis=0)
+            yield pa.RecordBatch.from_pydict({name: pa.array([k], pa.int32()), "ids": pa.array([ids[order].astype(np.int64).tobytes()]), "v": pa.array([m.tobytes()]), "energy": pa.array([energy.tolist()], pa.list_(pa.float64()))})
 
     number = F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.lit(count)).cast("int")
     return rows.select(number.alias("k"), "vec_id", "v").repartition(count, "k").mapInArrow(run, f"{name} int, ids binary, v binary, energy array<double>")
 
 
+def narrowest(low: int | None, high: int | None) -> np.dtype:
+    """The smallest of the kinds of integer that hold both."""
+    return next(np.dtype(kind) for kind in (np.int16, np.int32, np.int64) if (low or 0) >= np.iinfo(kind).min and (high or 0) <= np.iinfo(kind).max)
+
+
 def largest(m: np.ndarray) -> float:
     return float(max(m.max(initial=0), -float(m.min(initial=0))))
 
@@ -85,7 +97,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b.T in int64; in float64 (fast, exact) while no sum can reach 2^53."""
     if largest(a) * largest(b) * max(1, a.shape[1]) < 1 << 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    return a.astype(np.int64) @ b.astype(np.int64).T
 
 
 def cuts(width: int, lists: int = LISTS) -> list[slice]:
@@ -139,64 +151,81 @@ def resolve(q: np.ndarray, v: np.ndarray, tau: np.ndarray, lists: list[slice]) -
     return left, total, work
 
 
+def resolve_all(q: np.ndarray, own: np.ndarray, v: np.ndarray, ids: np.ndarray, tau: np.ndarray, lists: list[slice], k: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k best of a whole block (ids ascending) for each query; fewer: the score _LOW."""
+    top_ids, top_scores = np.empty((len(q), 0), np.int64), np.empty((len(q), 0), np.int64)
+    for at in range(0, len(v), step):
+        left, total, _ = resolve(q, v[at : at + step], tau, lists)
+        some = ids[at + left]
+        scores = np.where(own[:, None] == some[None, :], _LOW, total)
+        found = best(scores, k)
+        top_ids = np.hstack([top_ids, some[found] if len(some) else found])
+        top_scores = np.hstack([top_scores, np.where(found < 0, _LOW, np.take_along_axis(scores, found, axis=1))])
+        keep = best(top_scores, k)  # ties to what came first, the smaller id
+        top_ids, top_scores = np.take_along_axis(top_ids, keep, axis=1), np.where(keep < 0, _LOW, np.take_along_axis(top_scores, keep, axis=1))
+    return top_ids, top_scores
+
+
 def top(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, lists: int = LISTS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of vectors for each row of queries (default: the
     vectors whose id is divisible by EVERY), the query's own id left out."""
     rows = usable(vectors)
     asked = usable(queries) if queries is not None else rows.where(F.col("vec_id") % EVERY == 0)
-    n, longest = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    m, asked_longest = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    facts = F.count("*"), F.max(F.size("v")), F.min(F.array_min("v")), F.max(F.array_max("v"))
+    (n, longest, low, high), (m, asked_longest, asked_low, asked_high) = rows.agg(*facts).first(), asked.agg(*facts).first()
     wide = max(longest or 0, asked_longest or 0)
-    fit = max(1, BLOCK_BYTES // (8 * max(1, wide)))
-    row_blocks, query_blocks = max(1, -(-n // min(BLOCK_ROWS, fit))), max(1, -(-m // min(QUERY_ROWS, fit)))
-    r = materialise(blocks(rows, row_blocks, "rb", wide), "rows")
-    q = materialise(blocks(asked, query_blocks, "qb", wide), "queries").select("qb", F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
+    kind = narrowest(min(low or 0, asked_low or 0), max(high or 0, asked_high or 0))
+    fit = max(1, BLOCK_BYTES // (kind.itemsize * max(1, wide)))
+    row_blocks, query_blocks, step = max(1, -(-n // min(max(BLOCK_ROWS, m), fit))), max(1, -(-m // min(QUERY_ROWS, fit))), STEP_ROWS
+    r = materialise(blocks(rows, row_blocks, "rb", wide, kind), "rows")
+    q = materialise(blocks(asked, query_blocks, "qb", wide, kind), "queries").select("qb", F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
     energy = {e["pos"]: e["e"] for e in r.select(F.posexplode("energy").alias("pos", "e")).groupBy("pos").agg(F.sum("e").alias("e")).collect()}  # a row a dimension
     order = np.array(sorted(range(wide), key=lambda d: (-energy.get(d, 0.0), d)), np.int64)
     parts = cuts(wide, lists)
     r = r.drop("energy")
-    # every block of rows meets every block of queries: an equi-join on the number of the block of rows
-    pairs = r.join(q.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)))), "rb")
+
+    def pairs(asking: DataFrame) -> DataFrame:
+        """Every block of queries with every block of rows: an equi-join on the number of the block of rows."""
+        return asking.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)))).join(r.hint("merge"), "rb")
 
     def matrix(b: pa.RecordBatch, i: int, ids: str, v: str) -> tuple[np.ndarray, np.ndarray]:
         own = np.frombuffer(b.column(ids)[i].as_buffer(), np.int64)
-        return own, np.frombuffer(b.column(v)[i].as_buffer(), np.int64).reshape(len(own), wide)[:, order]
+        return own, np.frombuffer(b.column(v)[i].as_buffer(), kind).reshape(len(own), wide)[:, order]
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                (ids, v), (q_ids, qv) = matrix(b, i, "ids", "v"), matrix(b, i, "q_ids", "q_v")
-                for at in range(0, len(q_ids), CHUNK):
-                    own = q_ids[at : at + CHUNK]
-                    seen = gather(qv[at : at + CHUNK], v, own[:, None] == ids[None, :], parts, k)
-                    j, place = np.nonzero(seen > _LOW)
-                    # the seat is the row's place in its block: repeated ids stay apart
-                    yield pa.RecordBatch.from_pydict({"qb": pa.array([b.column("qb")[i].as_py()] * len(j), pa.int32()), "seat": pa.array(at + j, pa.int32()), "score": pa.array(seen[j, place])})
-
-    seen = pairs.mapInArrow(gathered, "qb int, seat int, score long")
+        for b in slices(batches, 1):
+            (ids, v), (q_ids, qv) = matrix(b, 0, "ids", "v"), matrix(b, 0, "q_ids", "q_v")
+            for at in range(0, len(q_ids), CHUNK):
+                own = q_ids[at : at + CHUNK]
+                seen = np.full((len(own), k), _LOW, np.int64)
+                for a in range(0, len(ids), step):
+                    more = gather(qv[at : at + CHUNK], v[a : a + step], own[:, None] == ids[None, a : a + step], parts, k)
+                    seen = np.sort(np.hstack([seen, more]), axis=1)[:, ::-1][:, :k]
+                j, place = np.nonzero(seen > _LOW)
+                # the seat is the row's place in its block: repeated ids stay apart
+                yield pa.RecordBatch.from_pydict({"qb": pa.array([b.column("qb")[0].as_py()] * len(j), pa.int32()), "seat": pa.array(at + j, pa.int32()), "score": pa.array(seen[j, place])})
+
+    seen = pairs(q).mapInArrow(gathered, "qb int, seat int, score long")
     place = F.row_number().over(Window.partitionBy("qb", "seat").orderBy(F.desc("score")))
     kth = seen.withColumn("place", place).where(F.col("place") == k).select("qb", F.struct("seat", F.col("score").alias("tau")).alias("c"))
     cutoffs = materialise(kth.groupBy("qb").agg(F.collect_list("c").alias("cutoffs")), "cutoffs")  # QUERY_ROWS entries at most
 
     def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                (ids, v), (q_ids, qv) = matrix(b, i, "ids", "v"), matrix(b, i, "q_ids", "q_v")
-                tau = np.full(len(q_ids), _LOW, np.int64)
-                for c in b.column("cutoffs")[i].as_py() or ():
-                    tau[c["seat"]] = c["tau"]
-                for at in range(0, len(q_ids), CHUNK):
-                    own = q_ids[at : at + CHUNK]
-                    left, total, _ = resolve(qv[at : at + CHUNK], v, tau[at : at + CHUNK], parts)
-                    found = best(np.where(own[:, None] == ids[None, left], _LOW, total), k)
-                    j, place = np.nonzero(found >= 0)
-                    hit = found[j, place]
-                    yield pa.RecordBatch.from_pydict({
-                        "query_id": pa.array(own[j]), "qb": pa.array([b.column("qb")[i].as_py()] * len(j), pa.int32()), "seat": pa.array(at + j, pa.int32()),
-                        "vec_id": pa.array(ids[left[hit]]), "score": pa.array(total[j, hit]),
-                    })
-
-    local = pairs.join(cutoffs, "qb", "left").mapInArrow(resolved, "query_id long, qb int, seat int, vec_id long, score long")
+        for b in slices(batches, 1):
+            (ids, v), (q_ids, qv) = matrix(b, 0, "ids", "v"), matrix(b, 0, "q_ids", "q_v")
+            tau, known = np.full(len(q_ids), _LOW, np.int64), b.column("cutoffs")[0].values
+            if known is not None:
+                tau[known.field("seat").to_numpy()] = known.field("tau").to_numpy()
+            for at in range(0, len(q_ids), CHUNK):
+                own = q_ids[at : at + CHUNK]
+                some, scores = resolve_all(qv[at : at + CHUNK], own, v, ids, tau[at : at + CHUNK], parts, k, step)
+                j, place = np.nonzero(scores > _LOW)
+                yield pa.RecordBatch.from_pydict({
+                    "query_id": pa.array(own[j]), "qb": pa.array([b.column("qb")[0].as_py()] * len(j), pa.int32()), "seat": pa.array(at + j, pa.int32()),
+                    "vec_id": pa.array(some[j, place]), "score": pa.array(scores[j, place]),
+                })
+
+    local = pairs(q.join(cutoffs.hint("merge"), "qb", "left")).mapInArrow(resolved, "query_id long, qb int, seat int, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("qb", "seat").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -62,3 +62,20 @@ def test_large_components(spark):
     assert sorted(map(tuple, ut.top(frame).collect())) == brute([(r.vec_id, r.embedding) for r in frame.collect()])
     long = spark.createDataFrame([(i * 25, [0.01 * (i + j % 7) for j in range(20_000)]) for i in range(5)], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, ut.top(long).collect())) == brute([(r.vec_id, r.embedding) for r in long.collect()])
+
+
+def test_steps_of_a_block(spark, monkeypatch):
+    """Blocks of several steps and of 32-bit components; the best of all steps, ties to the smaller id."""
+    monkeypatch.setattr(ut, "STEP_ROWS", 7)
+    rng = random.Random(4)
+    near = [rng.gauss(0, 300) for _ in range(4)]
+    rows = [(i * 10, [rng.gauss(0, 400) for _ in range(4)]) for i in range(60)] + [(3000 + i, near) for i in range(20)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, ut.top(frame).collect())) == brute([(r.vec_id, r.embedding) for r in frame.collect()])
+
+
+def test_no_copies_of_queries_through_the_driver(spark):
+    """Query blocks, copied to all blocks of rows, look small to the planner but are never broadcast."""
+    frame = spark.createDataFrame([(i, [0.01 * i, 1.0]) for i in range(200)], "vec_id long, embedding array<float>")
+    plan = ut.top(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
