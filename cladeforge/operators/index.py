@@ -10,15 +10,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from cladeforge.functions import sequences as S
 from cladeforge.functions import taxonomy as T
 from cladeforge.functions import words as W
+from cladeforge.sources.shared import materialise
 
 FORMAT_VERSION = 2
+#: Leaves whose words a task holds at once (64 KB each); bytes of a set of words as one bit a code.
+HELD_LEAVES, SET_BYTES = 512, S.WORD_SPACE // 8
 
 
 def records(reads: DataFrame, sketches: bool = False) -> DataFrame:
@@ -45,6 +50,19 @@ def records(reads: DataFrame, sketches: bool = False) -> DataFrame:
     return rows.mapInArrow(run, schema).withColumn("tax", T.parse(F.col("label")))
 
 
+def worded(rows: DataFrame) -> DataFrame:
+    """rows with the words of their sequence in place of it: nothing is joined, so nothing is moved."""
+    keep = [c for c in rows.columns if c not in ("seq", "words")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([*map(part.column, keep), W.lists([W.codes(W.normal(s)[0]) for s in part.column("seq").to_pylist()])], [*keep, "words"])
+
+    return rows.select(*keep, F.coalesce("seq", F.lit("")).alias("seq")).mapInArrow(run, rows.select(*keep).schema.add("words", ArrayType(IntegerType())))
+
+
 def reverse_strand(rows: DataFrame) -> DataFrame:
     """The rows with the words of the other strand."""
 
@@ -105,6 +123,70 @@ def taxon_frequency(post: DataFrame, refs: DataFrame) -> DataFrame:
     return pairs.groupBy("word").agg(F.count("*").alias("genera"), F.count_distinct("family").alias("families"))
 
 
+def _packed(own: np.ndarray) -> bytes:
+    """A set of words, given as a flag a code: a bit a code, or the codes where these are shorter."""
+    some = np.flatnonzero(own)
+    return some.astype("<u2").tobytes() if 2 * len(some) < SET_BYTES else np.packbits(own).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    """What picks the words of a packed set out of an array over all codes."""
+    return np.unpackbits(np.frombuffer(data, np.uint8)).astype(bool) if len(data) == SET_BYTES else np.frombuffer(data, "<u2")
+
+
+def taxon_counts(refs: DataFrame) -> DataFrame:
+    """The same as taxon_frequency from refs(leaf, lineage, words), without moving a row a posting: tasks
+    unite the words of each leaf, and what is moved are these sets (8 KB or less) and counts of words."""
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            keys = list(zip(*held, strict=True)) or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(keys[0], pa.int32()), pa.array(keys[1], pa.int32()), pa.array(map(_packed, held.values()), pa.binary())], ["family", "leaf", "words"])
+
+        for b in batches:
+            words = b.column("words")
+            ends, flat = words.offsets.to_numpy(), words.values.to_numpy()
+            for i, key in enumerate(zip(b.column("family").to_pylist(), b.column("leaf").to_pylist(), strict=True)):
+                if key not in held:
+                    if len(held) == HELD_LEAVES:
+                        yield out()
+                        held.clear()
+                    held[key] = np.zeros(S.WORD_SPACE, bool)
+                held[key][flat[ends[i] : ends[i + 1]]] = True
+        yield out()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows in order of family and leaf."""
+        genera, families = np.zeros((2, S.WORD_SPACE), np.int64)
+        leaf_words, family_words, last = np.zeros(S.WORD_SPACE, bool), np.zeros(S.WORD_SPACE, bool), (None, None)
+        for b in batches:
+            for *key, data in zip(*(b.column(c).to_pylist() for c in ("family", "leaf", "words")), strict=True):
+                if tuple(key) != last:
+                    genera += leaf_words
+                    leaf_words[:] = False
+                if key[0] != last[0]:
+                    families += family_words
+                    family_words[:] = False
+                last, own = tuple(key), _unpacked(data)
+                leaf_words[own] = True
+                family_words[own] = True
+        genera += leaf_words
+        families += family_words
+        some = np.flatnonzero(genera)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(genera[some]), pa.array(families[some])], ["word", "genera", "families"])
+
+    taxa = refs.select(F.col("lineage")[T.LEVELS - 2].cast("int").alias("family"), F.col("leaf").cast("int").alias("leaf"), "words")
+    sets = taxa.mapInArrow(united, "family int, leaf int, words binary").repartition("family").sortWithinPartitions("family", "leaf")
+    return sets.mapInArrow(counted, "word int, genera long, families long").groupBy("word").agg(F.sum("genera").alias("genera"), F.sum("families").alias("families"))
+
+
+def word_stats(refs: DataFrame) -> DataFrame:
+    """word, df, genera, families of refs(ref_id, leaf, lineage, words)."""
+    return document_frequency(postings(refs)).join(taxon_counts(refs), "word")
+
+
 def node_stats(tree: DataFrame, refs: DataFrame) -> DataFrame:
     """node_id, references, children (named), genera (rank-6 nodes, named or not) of each subtree."""
     under = refs.select(F.explode("lineage").alias("node_id")).groupBy("node_id").agg(F.count("*").alias("references"))
@@ -158,13 +240,14 @@ class Index:
 def build(reads: DataFrame) -> Index:
     """An index of reads(ordinal, label, seq). A label without a valid lineage is an error."""
     recs = records(reads)
-    bad = recs.where("tax.error is not null").select("ordinal", "tax.error").orderBy("ordinal").head()
+    tax = reads.select(F.col("ordinal").cast("long").alias("ordinal"), T.parse(F.col("label")).alias("tax"))
+    bad = tax.where("tax.error is not null").select("ordinal", "tax.error").orderBy("ordinal").head()
     if bad:
         raise ValueError(f"record {bad.ordinal}: {bad.error}")
-    tree = nodes(recs.select("ordinal", "tax.lineage"))
+    tree = nodes(tax.select("ordinal", "tax.lineage"))
     refs = references(recs, tree)
     post = postings(refs)
-    stats = document_frequency(post).join(taxon_frequency(post, refs), "word")
+    stats = word_stats(refs)
     meta = refs.agg(F.lit(FORMAT_VERSION).alias("format"), F.lit(S.K).alias("k"), F.count("*").alias("references"), F.sum(F.length("seq")).alias("bases"), F.bit_xor(F.xxhash64("ref_id", "seq")).alias("content"))
     return Index(tree, refs, post, stats, node_stats(tree, refs), meta)
 
@@ -186,21 +269,38 @@ def load(spark: SparkSession, path: str) -> Index:
     return index
 
 
+def digests(post: DataFrame) -> DataFrame:
+    """word, df, low, high: how many references, and sums of both halves of a hash of the word and reference."""
+    h = F.xxhash64("ref_id", "word")
+    return post.groupBy("word").agg(F.count("*").alias("df"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high"))
+
+
+def _differing(stored: DataFrame, right: DataFrame) -> DataFrame:
+    """The different rows that are in one of both, or more often."""
+    tagged = stored.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(-1)))
+    return tagged.groupBy(*stored.columns).agg(F.sum("side").alias("side")).where("side <> 0").drop("side")
+
+
 def verify(index: Index) -> DataFrame:
-    """part, mismatches: rows in which a stored part differs from what the sequences give."""
-    again = records(index.refs.select(F.col("ref_id").alias("ordinal"), F.lit("").alias("label"), "seq")).select(F.col("ordinal").alias("ref_id"), "words")
-    refs = index.refs.drop("words").join(again, "ref_id")
-    post = postings(refs)
+    """part, mismatches: rows in which a stored part differs from what the sequences give.
+
+    Postings are many times the sequences, so they aren't moved: words whose postings differ are found by the
+    number and a 64-bit digest of these (sums before the shuffle; a difference that leaves both as they are has a chance
+    of about 2^-64), and only the postings of these words are compared row by row.
+    """
+    refs = worded(index.refs)
+    post, stored = postings(refs), index.postings.select("word", "ref_id")
+    right = materialise(digests(post), "digests")
+    odd = materialise(_differing(digests(stored), right).select("word").distinct(), "odd")
+    some = lambda rows: rows.join(odd.select(F.col("word").alias("__word")), F.col("word").eqNullSafe(F.col("__word")), "left_semi")
     checks = {
-        "postings": (index.postings.select("word", "ref_id"), post),
-        "word_stats": (index.word_stats.select("word", "df", "genera", "families"), document_frequency(post).join(taxon_frequency(post, refs), "word").select("word", "df", "genera", "families")),
-        "node_stats": (index.node_stats, node_stats(index.nodes, refs)),
+        "postings": (some(stored), some(post)),
+        "word_stats": (index.word_stats.select("word", "df", "genera", "families"), right.select("word", "df").join(taxon_counts(refs), "word")),
+        "node_stats": (index.node_stats, node_stats(index.nodes, index.refs)),
         "vocabulary": (index.refs.select("ref_id", "vocabulary"), refs.select("ref_id", F.size("words").alias("vocabulary"))),
     }
     out = None
-    for name, (stored, right) in checks.items():
-        tagged = stored.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(-1)))
-        odd = tagged.groupBy(*stored.columns).agg(F.sum("side").alias("side")).where("side <> 0")
-        row = odd.agg(F.count("*").alias("mismatches")).select(F.lit(name).alias("part"), "mismatches")
+    for name, (found, wanted) in checks.items():
+        row = _differing(found, wanted).agg(F.count("*").alias("mismatches")).select(F.lit(name).alias("part"), "mismatches")
         out = row if out is None else out.unionByName(row)
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeforge.functions import sequences as S
+from cladeforge.functions import taxonomy
 from cladeforge.functions.hashing import SplitMix
 from cladeforge.operators import classify, curate, index, logistic, rank, scoring
 from cladeforge.plans import derived as D
@@ -48,8 +49,6 @@ def revcomp_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def parse_taxonomy(spark: SparkSession, d: str) -> DataFrame:
-    from cladeforge.functions import taxonomy
-
     r = D.references(spark, d).withColumn("tax", taxonomy.parse(F.col("label")))
     return r.select("ordinal", F.col("tax.error").isNull().alias("ok"), F.when(F.col("tax.error").isNull(), F.array_join("tax.lineage", "|")).alias("lineage"))
 
@@ -116,14 +115,14 @@ def index_verify(spark: SparkSession, d: str) -> DataFrame:
     """Mismatches of an index from which known rows were taken: the postings and statistics of every
     word of the second smallest reference, one vocabulary and one node's statistics are wrong."""
     reads = D.references(spark, d)
-    good = index.records(reads).where("tax.error is null").select("ordinal")
-    built = index.build(reads.join(good, "ordinal", "left_semi"))
-    tree, refs = materialise(built.nodes, "nodes"), materialise(built.refs, "references")
-    post = index.postings(refs)
-    stats = index.document_frequency(post).join(index.taxon_frequency(post, refs), "word")
+    built = index.build(reads.where(taxonomy.parse(F.col("label"))["error"].isNull()))
+    # words are made again from the sequences: as a table they would be several times these
+    tree, refs = materialise(built.nodes, "nodes"), materialise(built.refs.drop("words"), "references")
+    words = index.worded(refs)
+    post, stats = index.postings(words), index.word_stats(words)
     low = refs.agg(F.min_by("ref_id", F.struct("vocabulary", "ref_id")).alias("ref_id"))
     low = refs.join(low, "ref_id", "left_anti").agg(F.min_by("ref_id", F.struct("vocabulary", "ref_id")).alias("ref_id"))
-    hit = materialise(refs.join(low, "ref_id").select("ref_id", F.explode("words").alias("word")), "hit")
+    hit = materialise(index.postings(index.worded(refs.join(F.broadcast(low), "ref_id"))), "hit")  # one row
     damaged = index.Index(
         tree,
         refs.join(F.broadcast(low.withColumn("off", F.lit(1))), "ref_id", "left").withColumn("vocabulary", F.col("vocabulary") + F.coalesce("off", F.lit(0))).drop("off"),  # one row

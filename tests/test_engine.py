@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cladeforge.functions import hashing, sequences, taxonomy, words
 from cladeforge.operators import curate, index, logistic, rank, scoring
 from cladeforge.sources import fastx
+from cladeforge.sources.shared import materialise
 from cladeforge.streaming import classify
 
 
@@ -98,6 +99,31 @@ def test_index_round_trip_and_verify(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").select("query").distinct().count() == 5
 
 
+def test_verify_counts_every_difference_and_moves_no_postings(spark):
+    """Missing, repeated and exchanged postings are counted; what is shuffled is a small share of the postings."""
+    seqs = [random.Random(k % 3).choices("ACGT", k=1500) for k in range(400)]
+    rows = [(k, f"r;tax=d:D,f:f{k % 5},g:g{k % 7};", "".join(s)) for k, s in enumerate(seqs)]
+    good = index.build(spark.createDataFrame(rows, "ordinal long, label string, seq string").coalesce(2))
+    refs = materialise(good.refs, "refs")
+    post, tree = materialise(index.postings(refs), "post"), materialise(good.nodes, "nodes")
+    stats = materialise(index.document_frequency(post).join(index.taxon_frequency(post, refs), "word"), "stats")
+    assert sorted(map(tuple, index.word_stats(refs).collect())) == sorted(map(tuple, stats.collect()))
+    words = sorted(r.word for r in refs.where("ref_id = 0").select(F.explode("words").alias("word")).collect())
+    a, b = words[:2]
+    # of one word a posting goes to another reference (the count stays); one is repeated, one gone, one without a word
+    odd = post.where(f"not (ref_id = 3 and word = {a}) and not (ref_id = 0 and word = {words[5]})")
+    odd = odd.unionByName(post.where(f"ref_id = 6 and word = {b}")).unionByName(spark.createDataFrame([(a, 1000), (None, 2)], "word int, ref_id long"))
+    want = {tuple(r) for r in post.exceptAll(odd).collect()} | {tuple(r) for r in odd.exceptAll(post).collect()}
+    assert len(want) == 5
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    first = stages().size()
+    found = {r.part: r.mismatches for r in index.verify(index.Index(tree, refs, odd, stats, index.node_stats(tree, refs), good.meta)).collect()}
+    assert found == {"postings": 5, "word_stats": 0, "node_stats": 0, "vocabulary": 0}
+    every = stages()
+    new = sorted((every.apply(i).stageId(), every.apply(i).shuffleWriteRecords()) for i in range(every.size()))[first:]
+    assert sum(n for _, n in new) < 0.2 * post.count()
+
+
 def slow_calls(winners, lineages):
     inside, calls = list(winners), []
     if len(inside) < 50:
