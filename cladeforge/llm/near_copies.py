@@ -1,6 +1,10 @@
 """Near copies for the pipeline: texts whose sets of five-word shingles have a Jaccard of 0.8 or more.
 
 1. Equal sets are one node (so copies cost nothing); the sets are written once.
+   *Balls.* The fingerprints of op 3 (simhash) are linked by meet-in-the-middle ball hashing, as there; its
+   links, and texts of one fingerprint, are verified by the exact Jaccard, and components of these are found.
+   At 0.8 most pairs differ in more bits than a ball can reach, so what follows looks for the rest, between
+   the components that the balls have left.
 2. *Candidates.* ``BANDS`` keys a node, each of ``ROWS`` min-hashes of the set. Two sets of Jaccard j
    share no key with probability (1 - j^ROWS)^BANDS: 3e-6 at 0.8, less above.
 3. *Stars.* Members of a key are compared with its hub, by the exact Jaccard of the sets, and
@@ -63,19 +67,21 @@ def band_keys(some: np.ndarray, block: int = 1 << 12) -> list[int]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, node (hash of the set), n (its size), keys, shingles of every row."""
+    """doc_id, digest, fp (simhash's), node (hash of the set), n (its size), keys, shingles of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, 1 << 19):
-            sets = [shingle_set(t) for t in b.column("text").to_pylist()]
+            each = b.column("text").to_pylist()
+            prints = pa.array(np.array([simhash.fingerprint(t) for t in each], np.uint64).view(np.int64))
+            sets = [shingle_set(t) for t in each]
             node = [simhash._signed(xxhash.xxh3_64_intdigest(s.tobytes())) for s in sets]
             sizes = np.array([len(s) for s in sets], np.int64)
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
             keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(node, pa.int64()), pa.array(sizes), keys, lists], ["doc_id", "digest", "node", "n", "keys", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), prints, pa.array(node, pa.int64()), pa.array(sizes), keys, lists], ["doc_id", "digest", "fp", "node", "n", "keys", "shingles"])
 
-    return texts(docs, simhash.digest().alias("digest")).mapInArrow(run, "doc_id long, digest string, node long, n long, keys array<long>, shingles array<long>")
+    return texts(docs, simhash.digest().alias("digest")).mapInArrow(run, "doc_id long, digest string, fp long, node long, n long, keys array<long>, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
@@ -89,6 +95,18 @@ def verified(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     return both.where((NUM + DEN) * shared >= NUM * (F.size("x") + F.size("y"))).select(pairs.columns)
 
 
+def ball_pairs(sketched: DataFrame) -> DataFrame:
+    """a, b, part_a, part_b: nodes whose fingerprints simhash links, and nodes of one fingerprint with its first."""
+    owned = materialise(sketched.select("fp", "node").distinct(), "owned")
+    prints = materialise(owned.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    linked = simhash.ball_links(prints.select("fp"))
+    ends = [prints.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_node")) for side in "ab"]
+    near = linked.join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("x"), F.col("b_node").alias("y"))
+    equal = owned.join(prints, "fp").select(F.col("node").alias("x"), F.col("first").alias("y"))
+    pairs = near.unionAll(equal).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.select("a", "b", F.col("a").alias("part_a"), F.col("b").alias("part_b"))
+
+
 def _sizes_allow(n_a: str, n_b: str, c_a: str, c_b: str) -> F.Column:
     """Whether sets of n shingles, c of which others may hold, can have the Jaccard."""
     return (NUM + DEN) * F.least(c_a, c_b) >= NUM * (F.col(n_a) + F.col(n_b))
@@ -163,8 +181,9 @@ def roots(sketched: DataFrame) -> DataFrame:
     """node, root of the nodes that have a near copy; roots are equal where links connect."""
     nodes = sketched.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     shared = _shared(nodes.select("node", "n", F.col("n").alias("c"), F.explode("keys").alias("key")))
-    tried = _stars(shared, None)
-    parts = _merged(None, verified(tried, sketched))
+    parts = _merged(None, verified(ball_pairs(sketched), sketched))
+    tried = _stars(shared, parts)
+    parts = _merged(parts, verified(tried, sketched))
     mixed = _mixed(shared, parts)
     pairs = _pairs(mixed.where(F.col("members") <= FEW)).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     parts = _merged(parts, verified(pairs, sketched))

@@ -167,12 +167,16 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def ball_links(prints: DataFrame, blocks: int | None = None) -> DataFrame:
+    """Links (a, b) of different fingerprints prints(fp): steps 2 and 3."""
+    blocks = blocks or blocks_for(prints.count())
+    return materialise(links(materialise(with_partners(prints, blocks), "candidates")), "links")
+
+
 def _roots(prints: DataFrame, blocks: int | None) -> DataFrame:
     """fp, first (its smallest doc_id), root (equal for what links reach) of each fingerprint."""
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    blocks = blocks or blocks_for(nodes.count())
-    edges = materialise(links(materialise(with_partners(nodes.select("fp"), blocks), "candidates")), "links")
-    roots = components(edges)
+    roots = components(ball_links(nodes.select("fp"), blocks))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     return materialise(named, "roots")
 

@@ -72,3 +72,25 @@ def test_a_family_costs_its_size(spark, monkeypatch):
     kept = near_copies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute(texts)))
     assert sum(compared) < 12 * len(texts)
+
+
+def test_balls_find_links_of_their_own(spark, monkeypatch):
+    """Near copies within three bits are linked through op 3's balls, verified, before any other key is looked at."""
+    rng, texts = random.Random(11), []
+    for f in range(30):
+        words = [f"f{f}w{i}" for i in range(400)]
+        texts += [" ".join(words), " ".join([*words, f"end{f}"]), " ".join(rng.choices(words, k=400))]
+    texts += ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sketched = near_copies.materialise(near_copies.sketches(docs), "sketches")
+    nodes = {r.doc_id: r.node for r in sketched.collect()}
+    prints = [near_copies.simhash.fingerprint(t or "") for t in texts]
+    want = {tuple(sorted((nodes[i], nodes[j]))) for i, a in enumerate(prints) for j, b in enumerate(prints[:i]) if (a ^ b).bit_count() <= 3 and nodes[i] != nodes[j]}
+    assert len(want) > 10
+    found = {(r.a, r.b) for r in near_copies.ball_pairs(sketched).collect()}
+    assert found == want
+    # without any other key the links of the balls still take effect
+    monkeypatch.setattr(near_copies, "_shared", lambda keyed: near_copies.materialise(keyed.where("false").select("key", "node", "n", "c", F.struct(F.lit(0).alias("weight"), "node", "n", "c").alias("hub")), "none"))
+    kept = {r.doc_id for r in near_copies.keep_one(docs).collect()}
+    alike = {i for i in range(len(texts)) if any((prints[i] ^ prints[j]).bit_count() <= 3 and len(slow_set(texts[i]) & slow_set(texts[j])) >= 0.8 * len(slow_set(texts[i]) | slow_set(texts[j])) for j in range(i) if texts[i] and texts[j])}
+    assert kept == set(range(len(texts))) - alike - {len(texts) - 1}
