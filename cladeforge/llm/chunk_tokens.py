@@ -21,15 +21,18 @@ library cuts out first, send a text to the library whole.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of words and ids in the memo (the last texts may exceed it); the longest word (bytes) in it.
+#: Bytes of words and ids in the memo (the last texts may exceed it) if not told otherwise; the longest word (bytes) in it.
 MEMO_BYTES, MEMO_WORD = 24 << 20, 64
-#: Words in one text to the library.
-JOINED = 64
+#: Words in one text to the library, texts in one call (what it returns takes some 100 bytes a token).
+JOINED, CALL = 64, 256
+#: Chunks that are turned into ids or sums at a time (a text at least): each takes some 70 bytes meanwhile.
+BLOCK = 1 << 16
 END_ID = 2
 _ODD = "[\x1c-\x1f]"
 _LATIN = r"^[\x{00}-\x{ff}]*$"
@@ -68,24 +71,40 @@ class Encoded:
     def __init__(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray, bounds: np.ndarray):
         """Chunk k has the ids flat[starts[k]:][:sizes[k]]; text i has the chunks at[bounds[i]:bounds[i + 1]]."""
         self.flat, self.starts, self.sizes, self.at, self.bounds = flat, starts, sizes, at, bounds
-        lengths = np.concatenate([[0], np.cumsum(sizes[at])])
-        self.offsets = lengths[bounds]
+        self.offsets = np.concatenate([[0], np.cumsum(self._totals(sizes))])
+
+    def _blocks(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Runs of texts of about BLOCK chunks: which texts, their chunks, and where each text's begin and end there."""
+        i, last = 0, len(self.bounds) - 1
+        while i < last:
+            j = max(i + 1, int(np.searchsorted(self.bounds, self.bounds[i] + BLOCK, "right")) - 1)
+            yield slice(i, j), self.at[self.bounds[i] : self.bounds[j]], self.bounds[i : j + 1] - self.bounds[i]
+            i = j
+
+    def _totals(self, each: np.ndarray) -> np.ndarray:
+        """For each text the sum over its chunks of a whole number a chunk."""
+        out = np.empty(len(self.bounds) - 1, np.int64)
+        for texts, at, bounds in self._blocks():
+            out[texts] = np.diff(np.concatenate([[0], np.cumsum(each[at])])[bounds])
+        return out
 
-    def ids(self) -> np.ndarray:
-        return gathered(self.flat, self.starts[self.at], self.sizes[self.at])
+    def ids(self, kind: str = "<u4") -> np.ndarray:
+        out = np.empty(self.offsets[-1], kind)
+        for texts, at, _ in self._blocks():
+            out[self.offsets[texts.start] : self.offsets[texts.stop]] = gathered(self.flat, self.starts[at], self.sizes[at])
+        return out
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """For each text the sum of values[id] (whole numbers) over its ids; summed once a chunk."""
         upto = np.concatenate([[0], np.cumsum(values[self.flat], dtype=np.int64)])
-        each = upto[self.starts + self.sizes] - upto[self.starts]
-        total = np.concatenate([[0], np.cumsum(each[self.at])])
-        return np.diff(total[self.bounds])
+        return self._totals(upto[self.starts + self.sizes] - upto[self.starts])
 
 
 class ChunkTokenizer:
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int | None = None):
         from tokenizers import Tokenizer
 
+        self.memo = memo or MEMO_BYTES
         self.library = Tokenizer.from_file(path)
         self.vocabulary_size = self.library.get_vocab_size(with_added_tokens=True)
         self.library.encode_special_tokens = True
@@ -176,23 +195,26 @@ class ChunkTokenizer:
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.concatenate(sizes))])
         return out
 
+    def _called(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, some texts a call."""
+        for a in range(0, len(texts), CALL):
+            yield from [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts[a : a + CALL], add_special_tokens=False)]
+
     def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their number for each word of small Latin letters."""
-        lines = [" ".join(words[a : a + JOINED]) for a in range(0, len(words), JOINED)]
-        found = self.library.encode_batch_fast(lines, add_special_tokens=False)
-        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in found)])
+        ids = np.concatenate([np.empty(0, np.uint32), *self._called([" ".join(words[a : a + JOINED]) for a in range(0, len(words), JOINED)])])
         stops = np.flatnonzero(self.ends_word[ids]) + 1
         if len(stops) != len(words):
             return self._single(words)
         return ids, np.diff(stops, prepend=0)
 
     def _single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        found = list(self._called(words))
         return np.concatenate([np.empty(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
 
     def _trim(self, used: np.ndarray) -> None:
         """Past its bound the memo keeps the words that were just used, long ones left out."""
-        if self.words.nbytes + self.flat.nbytes + self.offsets.nbytes <= MEMO_BYTES:
+        if self.words.nbytes + self.flat.nbytes + self.offsets.nbytes <= self.memo:
             return
         some = np.unique(used)
         words = self.words.take(pa.array(some))
@@ -200,14 +222,14 @@ class ChunkTokenizer:
         some, words = some[short], words.filter(pa.array(short))
         starts, sizes = self.offsets[some], np.diff(self.offsets)[some]
         self.words, self.flat, self.offsets = words, gathered(self.flat, starts, sizes), np.concatenate([[0], np.cumsum(sizes)])
-        if self.words.nbytes + self.flat.nbytes + self.offsets.nbytes > MEMO_BYTES // 2:
+        if self.words.nbytes + self.flat.nbytes + self.offsets.nbytes > self.memo // 2:
             self._forget()
 
 
 @functools.cache
-def tokenizer(path: str) -> ChunkTokenizer:
-    """One per Python worker."""
+def tokenizer(path: str, memo: int | None = None) -> ChunkTokenizer:
+    """One per Python worker and size of memo."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return ChunkTokenizer(path)
+    return ChunkTokenizer(path, memo)

@@ -37,6 +37,19 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+@contextlib.contextmanager
+def batch_bytes(spark: SparkSession, most: int) -> Iterator[None]:
+    """What is written within goes to Python in batches of about so many bytes (a row at least), not of so many
+    rows only: JVM and worker hold two each."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of a few rows, so that long texts don't pile up as Python objects."""
     for batch in batches:

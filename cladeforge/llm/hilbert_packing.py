@@ -38,12 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeforge.llm.chunk_tokens import tokenizer, vocabulary_path
-from cladeforge.llm.common import materialise, partitions, slices, text_slices, texts
+from cladeforge.llm.common import batch_bytes, materialise, partitions, release, slices, text_slices, texts
 
 CAPACITY = 4096
 DIMENSIONS, ORDER = 4, 10
 TIE_BITS = 20
 RANGE_TOKENS, SAMPLED = 1 << 25, 100
+#: Bytes of text that a worker takes apart at a time, of the words that it remembers, and of a batch that it is sent:
+#: an executor's memory is that of its heap, which fills up over the stages before, and of all its workers.
+SLICE, MEMO, BATCH = 1 << 21, 8 << 20, 1 << 22
 
 
 def hilbert_key(cells: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -140,15 +143,17 @@ def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     vocabulary = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(vocabulary)
+        tok = tokenizer(vocabulary, MEMO)
         size = tok.vocabulary_size
-        for b in text_slices(batches, 1 << 22):
+        for b in text_slices(batches, SLICE):
             found = tok.chunks(b.column("text"))
             keys = hilbert_key(cells(np.stack([found.sums(d) for d in directions(size)], axis=1)))
-            ids = found.ids().astype(stored(size))
+            ids = found.ids(stored(size))
             ends = (found.offsets * ids.itemsize).astype(np.int32)  # a slice's ids stay far below 2^31 bytes
             data = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.tobytes())])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys), pa.array(np.diff(found.offsets)), data], ["doc_id", "key", "n", "ids"])
+            del found, keys, ids, ends, data
+            release()
 
     found = texts(docs).mapInArrow(run, "doc_id long, key long, n long, ids binary")
     tie = F.xxhash64("doc_id", F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << TIE_BITS) - 1))
@@ -197,7 +202,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
         return pa.RecordBatch.from_pydict(out | ({"ids": pa.array(map(bytes, columns[-1]), pa.binary())} if keep_ids else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, kind = Packer(TaskContext.get().partitionId() << 32, capacity), stored(tokenizer(vocabulary).vocabulary_size)
+        packer, kind = Packer(TaskContext.get().partitionId() << 32, capacity), stored(tokenizer(vocabulary, MEMO).vocabulary_size)
         for b in slices(batches):
             pieces = [p for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True) for p in packer.add(d, np.frombuffer(x, kind).astype('<u4').tobytes())]
             if pieces:
@@ -205,7 +210,8 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
         if pieces := list(packer.close()):
             yield rows(pieces)
 
-    ids = materialise(encoded(docs, vocabulary), "encoded")
+    with batch_bytes(docs.sparkSession, BATCH):
+        ids = materialise(encoded(docs, vocabulary), "encoded")
     at = bounds(ids, partitions(docs.sparkSession))
     ordered = ids.withColumn("range", place("curve", at)).repartitionById(len(at) + 1, F.col("range").cast("int")).sortWithinPartitions("curve", "doc_id", "ids")
     return ordered.select("doc_id", "ids").mapInArrow(run, _PIECE + (", ids binary" if keep_ids else ""))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeforge.llm import simhash
-from cladeforge.llm.common import materialise, text_slices, texts
+from cladeforge.llm.common import batch_bytes, materialise, text_slices, texts
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
@@ -197,7 +197,8 @@ def roots(sketched: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The first document of each component (see simhash.survivors), with all its columns."""
-    sketched = materialise(sketches(docs), "sketches")
+    with batch_bytes(docs.sparkSession, 1 << 22):
+        sketched = materialise(sketches(docs), "sketches")
     found = materialise(roots(sketched), "roots")
     rows = sketched.select("doc_id", "digest", "node").join(simhash.few(found), "node", "left")
     return simhash.survivors(docs, rows.select("doc_id", "digest", F.coalesce("root", "node").alias("root")))

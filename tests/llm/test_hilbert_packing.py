@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +75,25 @@ def test_ranges_hold_equally_many_tokens(spark):
     at = hp.bounds(ids, 8)
     sizes = [r.t for r in ids.groupBy(hp.place("curve", at).alias("p")).agg({"n": "sum"}).toDF("p", "t").collect()]
     assert len(sizes) == 8 and max(sizes) < 1.5 * sum(sizes) / 8
+
+
+def test_workers_are_sent_bounded_batches(spark, monkeypatch):
+    """10,000 rows of 2 KB made batches of 20 MB, two a worker and two a task of the JVM."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(3_000).selectExpr("id doc_id", "concat(id, repeat(' some words', 200)) text").coalesce(1)
+    seen = []
+
+    def sizes(found, label, write=hp.materialise):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes]})
+
+        seen.append((spark.conf.get(key), [r.bytes for r in docs.mapInArrow(run, "bytes long").collect()]))
+        return write(found, label)
+
+    before = spark.conf.get(key)
+    monkeypatch.setattr(hp, "materialise", sizes)
+    assert hp.packed(docs).select("doc_id").distinct().count() == 3_000
+    [(most, each)] = seen
+    assert int(most) == hp.BATCH and max(each) < 1.1 * hp.BATCH and len(each) > 1
+    assert spark.conf.get(key) == before
