@@ -165,8 +165,8 @@ def _merged(parts: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def rare_keys(sets: DataFrame) -> DataFrame:
     """key, node, n, c of sets(node, shingles): the rarest shingles of each set, as many as leave no room for
-    a set alike that has none of them. Those that no other set has take their place but are no keys; c of
-    the n others have."""
+    a set alike that has none of them. Those that no other set has take their place but are no keys; of the n, c
+    are held by others and no rarer than the key: all that two sets can share if it is the first they share."""
     each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
     held = each.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     met = each.join(held, "key")
@@ -174,7 +174,7 @@ def rare_keys(sets: DataFrame) -> DataFrame:
     place = F.row_number().over(own.orderBy("held", "key"))
     met = met.withColumn("c", F.count("*").over(own))
     room = F.col("n") - F.expr(f"({NUM} * n + {DEN} - 1) div {DEN}") + 1
-    return met.withColumn("place", place + F.col("n") - F.col("c")).where(F.col("place") <= room).select("key", "node", "n", "c")
+    return met.withColumn("place", place + F.col("n") - F.col("c")).where(F.col("place") <= room).select("key", "node", "n", (F.col("n") - F.col("place") + 1).alias("c"))
 
 
 def roots(sketched: DataFrame) -> DataFrame:

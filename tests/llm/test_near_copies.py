@@ -94,3 +94,14 @@ def test_balls_find_links_of_their_own(spark, monkeypatch):
     kept = {r.doc_id for r in near_copies.keep_one(docs).collect()}
     alike = {i for i in range(len(texts)) if any((prints[i] ^ prints[j]).bit_count() <= 3 and len(slow_set(texts[i]) & slow_set(texts[j])) >= 0.8 * len(slow_set(texts[i]) | slow_set(texts[j])) for j in range(i) if texts[i] and texts[j])}
     assert kept == set(range(len(texts))) - alike - {len(texts) - 1}
+
+
+def test_two_that_share_rare_shingles_meet_only_where_enough_follow(spark):
+    """Windows over one sequence: all shingles are held by others, so the sizes alone let every pair of a key through."""
+    sets = {i: set(range(7 * i, 7 * i + 80)) for i in range(40)}
+    keyed = near_copies.rare_keys(spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "node long, shingles array<long>")).collect()
+    met = [(x, y) for x in keyed for y in keyed if x.key == y.key and x.node < y.node]
+    left = [(x.node, y.node) for x, y in met if 9 * min(x.c, y.c) >= 4 * (x.n + y.n)]
+    alike = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert alike and alike <= set(left)
+    assert 2 * len(left) < len(met)
