@@ -20,8 +20,9 @@ Three passes over the texts, no text is moved: (1) base spans and their neighbou
 document counts of the terms that have enough evidence; (3) base spans again and occurrences of
 disclosing terms. Term sets reach tasks as a bit filter of ``BITS_PER_TERM`` bits a term (at most
 FILTER_MOST; past that it passes more, and only costs); what passes is settled by exact joins. Only
-texts in which something passed travel on. Where no term has enough evidence, passes 2 and part of 3
-have nothing to do. Each pass is linear in a text, however many spans it holds.
+texts in which something passed travel on; of the others the report writes base spans and a digest, so
+pass 3 is made once (``sanitise`` makes it again for the texts themselves). Where no term has enough evidence,
+passes 2 and part of 3 have nothing to do. Each pass is linear in a text, however many spans it holds.
 
 Edge cases: null text is empty; repeated rows give a row each; null ids are kept; other columns are
 ignored; an empty table gives no rows; texts of any length are read whole.
@@ -37,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +51,7 @@ EVIDENCE = 3
 GENERALISE, REMOVE = 0.8, 0.95
 MIN_TERM = 3
 BITS_PER_TERM, FILTER_LEAST, FILTER_MOST, FILTER_HASHES = 16, 1 << 16, 1 << 26, 3
-MEMO_TERMS = 200_000
+MEMO_TOKENS, MEMO_CHARS = 100_000, 64  # of a generation; the longest token remembered
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -119,9 +121,11 @@ def _met(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"entity": pa.array(e), "term": pa.array(t), "around": pa.array(a, pa.int64())})
 
 
-def _slots(term: str, bits: int) -> list[int]:
-    h = xxhash.xxh3_128_intdigest(term.encode())
-    return [(h >> 40 * k) % bits for k in range(FILTER_HASHES)]
+def _slots(term: str, bits: int) -> Iterator[int]:
+    h = xxhash.xxh3_64_intdigest(term.encode())
+    yield h % bits
+    for k in range(1, FILTER_HASHES):
+        yield (h + k * (h >> 32 | 1)) % bits
 
 
 def term_filter(terms: DataFrame) -> bytes:
@@ -137,26 +141,60 @@ def term_filter(terms: DataFrame) -> bytes:
             yield pa.RecordBatch.from_pydict({"word": pa.array([s >> 5 for s in at], pa.int64()), "bit": pa.array([1 << (s & 31) for s in at], pa.int64())})
 
     words = terms.select("term").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # size / 32 rows at most
-    out = np.zeros(size // 32, np.uint32)
+    out = np.zeros(size // 32, "<u4")
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
     return out.tobytes()
 
 
 class Filter:
-    """Membership of raw words, remembered within a bound: the term if it may be a member, or ''."""
+    """The terms that may be members, of a word or of a text.
+
+    A text is cut at white space, which no term holds, and a token is taken apart when it is new: most
+    of a text is tokens met before. They are remembered in two generations of bounded size, so that tokens that
+    come again stay, and rare ones (most of the different tokens of a corpus) don't push them out.
+    """
 
     def __init__(self, bits: bytes):
-        self.bits = np.frombuffer(bits, np.uint32)
-        self.memo: dict[str, str] = {}
+        self.bits, self.size = bits, 8 * len(bits)
+        self.young: dict[str, str | tuple[str, ...]] = {}  # the term that may be a member, '' for none, or several
+        self.old: dict[str, str | tuple[str, ...]] = {}
 
     def __call__(self, word: str) -> str:
-        known = self.memo.get(word)
+        """The word's term if it may be a member, or ''."""
+        term = word.casefold()
+        if len(term) < MIN_TERM:
+            return ""
+        for s in _slots(term, self.size):
+            if not self.bits[s >> 3] >> (s & 7) & 1:
+                return ""
+        return term
+
+    def terms(self, text: str) -> set[str]:
+        """The different terms of a text that may be members."""
+        tokens = set(text.split())
+        found = set(map(self.young.get, tokens))
+        if None in found:
+            found.remove(None)
+            young = self.young
+            found.update([self._learn(t) for t in tokens if t not in young])
+        found.discard("")
+        for several in [t for t in found if type(t) is tuple]:
+            found.remove(several)
+            found.update(several)
+        return found
+
+    def _learn(self, token: str) -> str | tuple[str, ...]:
+        known = self.old.get(token)
         if known is None:
-            term = word.casefold()
-            known = term if len(term) >= MIN_TERM and all(int(self.bits[s >> 5]) >> (s & 31) & 1 for s in _slots(term, 32 * len(self.bits))) else ""
-            if len(self.memo) >= MEMO_TERMS:
-                self.memo.clear()
-            self.memo[word] = known
+            if token.isalpha():
+                known = self(token)
+            else:
+                passed = {t for w in set(_WORD.findall(token)) if (t := self(w))}
+                known = tuple(passed) if len(passed) > 1 else "".join(passed)
+        if len(token) <= MEMO_CHARS:
+            if len(self.young) >= MEMO_TOKENS:
+                self.young, self.old = {}, self.young
+            self.young[token] = known
         return known
 
 
@@ -169,7 +207,7 @@ def document_counts(docs: DataFrame, bits: bytes) -> DataFrame:
             n: Counter[str] = Counter()
             for part in slices([b]):
                 for text in part.column("text").to_pylist():
-                    n.update({t for w in set(_WORD.findall(text)) if (t := passes(w))})
+                    n.update(passes.terms(text))
             yield pa.RecordBatch.from_pydict({"term": pa.array(list(n), pa.string()), "n": pa.array(n.values(), pa.int64())})
 
     return texts(docs).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
@@ -191,13 +229,16 @@ def disclosing_terms(docs: DataFrame) -> tuple[DataFrame, bytes]:
     return terms, term_filter(terms)
 
 
-_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, hits array<struct<term:string,start:long,end:long>>, text string"
+_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, hits array<struct<term:string,start:long,end:long>>, digest binary, text string"
 _HITS = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, digests: bool = False) -> DataFrame:
     """A row per document: counts and digest of base spans, ``base`` (joined), ``terms``, an array of
-    (start, end, kind, share) for the disclosing terms that don't overlap base spans, and the text."""
+    (start, end, kind, share) for the disclosing terms that don't overlap base spans, and the text.
+
+    With ``digests`` the texts are scanned once: a document in which nothing passed the filter has its
+    sanitised text's SHA-256 in ``digest`` instead of the text. Else ``digest`` is null."""
     terms, bits = disclosing_terms(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,23 +249,28 @@ def find(docs: DataFrame) -> DataFrame:
                 found = spans.pii(text)
                 n = Counter(k for k, _, _ in found)
                 hits = []
-                if passes and any(map(passes, set(_WORD.findall(text)))):
-                    hits = [{"term": t, "start": m.start(), "end": m.end()} for m in spans.outside(_WORD, text, found) if (t := passes(m[0]))]
-                rows.append((doc_id, *(n[k] for k in spans.PII_KINDS), spans.digest(found), spans.joined(found), hits))
-            names = ["doc_id", *(f"n_{k}" for k in spans.PII_KINDS), "base_sha256", "base", "hits"]
-            kinds = [*[pa.int64()] * 5, pa.string(), pa.string(), _HITS]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), b.column("text")], [*names, "text"])
+                if passes and (some := passes.terms(text)):
+                    hits = [{"term": t, "start": m.start(), "end": m.end()} for m in spans.outside(_WORD, text, found) if (t := m[0].casefold()) in some]
+                base = spans.joined(found)
+                done = digests and not hits
+                rows.append((doc_id, *(n[k] for k in spans.PII_KINDS), spans.digest(found), base, hits, _sha256(cleaned(text, base, [])) if done else None, None if done else text))
+            names = ["doc_id", *(f"n_{k}" for k in spans.PII_KINDS), "base_sha256", "base", "hits", "digest", "text"]
+            kinds = [*[pa.int64()] * 5, pa.string(), pa.string(), _HITS, pa.binary(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     found = texts(docs).mapInArrow(run, _FOUND)
     empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint,kind:string,share:double>>)")
     if not bits:
         return found.withColumn("terms", empty).drop("hits")
-    # rows without hits go straight on; the others are few, and are written with their texts
-    hit = materialise(found.where(F.size("hits") > 0).withColumn("row", F.monotonically_increasing_id()), "hits")
+    found = found.withColumn("row", F.when(F.size("hits") > 0, F.monotonically_increasing_id()))
+    # rows with hits are few, and are written with their texts; the others are written too where they hold no text, else scanned again
+    if digests:
+        found = materialise(found, "found")
+    hit = found.where(F.size("hits") > 0) if digests else materialise(found.where(F.size("hits") > 0), "hits")
     sure = hit.select("row", F.explode("hits").alias("hit")).select("row", "hit.*").join(terms, "term")
     sure = sure.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "share"))).alias("terms"))  # of one text
     some = hit.join(sure, "row", "left").withColumn("terms", F.coalesce("terms", empty))
-    return found.where(F.size("hits") == 0).withColumn("terms", empty).unionByName(some.drop("row")).drop("hits")
+    return found.where(F.size("hits") == 0).withColumn("terms", empty).unionByName(some).drop("row", "hits")
 
 
 def span_list(base: str, terms: str) -> F.Column:
@@ -243,6 +289,10 @@ def cleaned(text: str, base: str, terms: list[dict]) -> str:
     return spans.replaced(text, own) if own else text
 
 
+def _sha256(text: str) -> bytes:
+    return hashlib.sha256(text.encode()).digest()
+
+
 def _cleaned(b: pa.RecordBatch) -> list[str]:
     return [cleaned(*r) for r in zip(*(b.column(c).to_pylist() for c in ("text", "base", "terms")), strict=True)]
 
@@ -256,12 +306,14 @@ def report(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            digests = [hashlib.sha256(t.encode()).hexdigest() for t in _cleaned(b)]
+            some = b.filter(pc.is_null(b.column("digest")))
+            rest = map(_sha256, _cleaned(some))
+            digests = [(next(rest) if d is None else d).hex() for d in b.column("digest").to_pylist()]
             yield pa.RecordBatch.from_arrays([*map(b.column, kept), pa.array(digests, pa.string())], [*kept, "sanitised_sha256"])
 
-    rows = find(docs).withColumns({"spans": spans_, "n_removed": removed, "n_generalised": F.size("terms").cast("long") - removed})
+    rows = find(docs, digests=True).withColumns({"spans": spans_, "n_removed": removed, "n_generalised": F.size("terms").cast("long") - removed})
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_generalised long, n_removed long, sanitised_sha256 string"
-    return rows.select(*kept, "text", "base", "terms").mapInArrow(run, schema)
+    return rows.select(*kept, "digest", "text", "base", "terms").mapInArrow(run, schema)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

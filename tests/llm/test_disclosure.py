@@ -98,3 +98,32 @@ def test_filter_grows_with_the_terms(spark):
     assert 8 * len(bits) >= 16 * 20_000
     passes = disclosure.Filter(bits)
     assert all(passes(f"term{i}") for i in range(20_000)) and sum(bool(passes(f"other{i}")) for i in range(5_000)) < 100
+
+
+def test_the_report_scans_for_terms_once(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(corpus(), "doc_id long, text string").write.parquet(path)
+    report = disclosure.report(spark.read.parquet(path))  # what it found was written: no second scan of the documents
+    assert report.where("spans like '%term:%'").count() and not [f for f in report.inputFiles() if "documents.parquet" in f]
+
+
+def test_filter_of_texts(spark, monkeypatch):
+    members = ["alpha", "beta", "straße".casefold(), "ὀδυσσεύς".casefold(), "東京都庁"]
+    bits = disclosure.term_filter(spark.createDataFrame([(m,) for m in members], "term string"))
+    odd = ["", "  \x1f　", "Alpha,beta;ALPHA x", "STRASSE straße-alpha", "a_alpha9beta²", "東京都庁。alpha東京都庁", "al pha", "beta" * 40 + " " + "alpha," * 40, "ὈΔΥΣΣΕΎΣ!", "ab be12ta beta\x85beta"]
+    texts = [*odd, *(f"{'abcdefghij'[k % 10]}rare{chr(97 + k // 10)} alpha. {odd[k % 10]}" for k in range(200)), *odd]
+    hashed = Counter()
+    slots = disclosure._slots
+    monkeypatch.setattr(disclosure, "_slots", lambda t, n: hashed.update([t]) or slots(t, n))
+    for most in (4, 64, 1000):
+        monkeypatch.setattr(disclosure, "MEMO_TOKENS", most)
+        passes, plain = disclosure.Filter(bits), disclosure.Filter(bits)
+        for text in texts:
+            assert passes.terms(text) == {t for w in disclosure._WORD.findall(text) if (t := plain(w))}
+        assert set(members) & passes.terms(texts[5]) == {"東京都庁"} and len(passes.young) <= most and len(passes.old) <= most
+    hashed.clear()
+    monkeypatch.setattr(disclosure, "MEMO_TOKENS", 50)
+    passes = disclosure.Filter(bits)
+    for k in range(100):  # rare tokens pass by, the one that comes again stays
+        passes.terms("again " + " ".join("".join(chr(97 + (k * 20 + j) // 26**i % 26) for i in range(4)) for j in range(20)))
+    assert hashed["again"] == 1 and len(hashed) == 2001
